@@ -1,0 +1,45 @@
+"""Price-change events: the one job with its own per-key state."""
+
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+# the processor travels with the job, so executors need no installed copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EVENT_SCHEMA = "id long, fuel string, date date, previous double, price double, direction string"
+STATE_DAYS = 30
+
+
+class PreviousPrice(StatefulProcessor):
+    """Remembers the last snapshot price of a station and fuel and reports every change of it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "date date, price double", STATE_DAYS * 86_400_000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # one row per snapshot date, so a batch of a key is as long as the days it covers
+        days = pd.concat(rows).sort_values("date")
+        last = self.last.get()
+        events = []
+        for day, price in zip(days["date"], days["price"]):
+            if last is not None and last[1] != price:
+                events.append((key[0], key[1], day, last[1], price, "up" if price > last[1] else "down"))
+            last = (day, price)
+        self.last.update(last)
+        columns = ["id", "fuel", "date", "previous", "price", "direction"]
+        yield pd.DataFrame(events, columns=columns).astype({"id": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def price_change_events(snapshots: DataFrame) -> DataFrame:
+    """Stream of (id, fuel, date, price), one row per snapshot, to a stream of changes."""
+    return snapshots.groupBy("id", "fuel").transformWithStateInPandas(
+        statefulProcessor=PreviousPrice(), outputStructType=EVENT_SCHEMA, outputMode="Append", timeMode="ProcessingTime")
