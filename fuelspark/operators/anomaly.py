@@ -1,13 +1,11 @@
 """Price anomalies: against the neighbourhood, and against the whole country."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fuelspark.functions.numeric import cents, js_round, mean_price, pop_std
 from fuelspark.operators.spatial import within_radius
 
-SEVERITY_RANK = {"severe": 0, "moderate": 1, "mild": 2}
-
 
 def _local_statistics(priced: DataFrame, radius_km: float) -> DataFrame:
     """Neighbour statistics per coordinate, fuel and price.
@@ -61,9 +59,12 @@ def local_anomalies(priced: DataFrame, method: str = "both", threshold: float =
     return priced.join(found, ["lat", "lng", "fuel", "price"])
 
 
+def severity_rank() -> Column:
+    return F.when(F.col("severity") == "severe", 0).when(F.col("severity") == "moderate", 1).otherwise(2)
+
+
 def ordered(anomalies: DataFrame) -> DataFrame:
-    rank = F.when(F.col("severity") == "severe", 0).when(F.col("severity") == "moderate", 1).otherwise(2)
-    return anomalies.orderBy(rank, F.abs("z_score").desc(), "id")
+    return anomalies.orderBy(severity_rank(), F.abs("z_score").desc(), "id")
 
 
 def summary(anomalies: DataFrame) -> DataFrame:

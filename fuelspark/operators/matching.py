@@ -335,10 +335,10 @@ def explain(decisions: DataFrame) -> DataFrame:
         .otherwise(f"is below {REVIEW_MIN}"),
     )
     rows = decisions.withColumns({
-        "name_text": F.format_string("name %.2f: %s", "name_score", name),
-        "geo_text": F.format_string("geo %.2f: %s", "geo_score", geo),
-        "brand_text": F.format_string("brand %.2f: %s", "brand_score", brand),
-        "address_text": F.format_string("address %.2f: %s", "address_score", address),
+        "name_text": F.format_string("name %.2f: %s", js_round(F.col("name_score"), 2), name),
+        "geo_text": F.format_string("geo %.2f: %s", js_round(F.col("geo_score"), 2), geo),
+        "brand_text": F.format_string("brand %.2f: %s", js_round(F.col("brand_score"), 2), brand),
+        "address_text": F.format_string("address %.2f: %s", js_round(F.col("address_score"), 2), address),
         "reason_text": reason,
     })
     scores = ["name_score", "geo_score", "brand_score", "address_score", "source_score", "composite", "distance_m"]

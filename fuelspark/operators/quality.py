@@ -94,7 +94,7 @@ def distant_permits(tables: Tables, settings: Settings) -> DataFrame:
     km = haversine_km(F.col("lat"), F.col("lng"), F.col("lat_b"), F.col("lng_b"))
     far = pairs.withColumn("km", km).filter(F.col("km") * 1000 > settings.geo_threshold_m)
     return far.select(
-        "master_id", F.format_string("permit %s links %s and %s, %.1f km apart", "pl_number", "master_id", "master_b", "km").alias("detail"),
+        "master_id", F.format_string("permit %s links %s and %s, %.1f km apart", "pl_number", "master_id", "master_b", js_round(F.col("km"), 1)).alias("detail"),
         _extra(pl_number=F.col("pl_number"), other=F.col("master_b"), distance_km=js_round(F.col("km"), 2)),
     )
 
@@ -104,7 +104,7 @@ def brand_conflicts(tables: Tables, settings: Settings) -> DataFrame:
     m = tables["masters"].filter("canonical_brand is not null").filter(
         (F.size("source_ids") >= 3) & (F.col("confidence_score") < settings.brand_confidence))
     return m.select(
-        "master_id", F.format_string("%d sources with confidence %.2f", F.size("source_ids"), "confidence_score").alias("detail"),
+        "master_id", F.format_string("%d sources with confidence %.2f", F.size("source_ids"), js_round(F.col("confidence_score"), 2)).alias("detail"),
         _extra(brand=F.col("canonical_brand"), sources=F.size("source_ids")),
     )
 
@@ -164,7 +164,7 @@ def low_confidence(tables: Tables, settings: Settings) -> DataFrame:
     rows = tables["masters"].filter("status = 'active' and not review_flag").filter(
         F.col("confidence_score") < settings.low_confidence)
     return rows.select(
-        "master_id", F.format_string("confidence %.2f from source %s", "confidence_score", "primary_source").alias("detail"),
+        "master_id", F.format_string("confidence %.2f from source %s", js_round(F.col("confidence_score"), 2), "primary_source").alias("detail"),
         _extra(confidence=F.col("confidence_score"), source=F.col("primary_source")),
     )
 

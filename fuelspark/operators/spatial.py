@@ -234,6 +234,6 @@ def nearest_place(masters: DataFrame, places: DataFrame, radius_m: float = 50.0,
     """Nearest place within a tight radius for masters of low confidence."""
     wanted = masters.filter(F.col("confidence_score") < below).select("master_id", "lat", "lng")
     here = places.groupBy("lat", "lng").agg(F.min("place_id").alias("place_id"))
-    near = within_radius(wanted, here, radius_m / 1000.0, rounded=False)
+    near = within_radius(wanted, here, radius_m / 1000.0, rounded=False, max_abs_lat=60.0)
     best = near.groupBy("master_id").agg(F.min(F.struct("km", "place_id")).alias("b"))
     return best.select("master_id", "b.place_id", js_round(F.col("b.km") * 1000, 1).alias("distance_m"))
