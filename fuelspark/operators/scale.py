@@ -1,5 +1,6 @@
 """Helpers that keep jobs flat on a cluster: hot join keys, lineage cuts and scratch folders."""
 
+import re
 import tempfile
 import uuid
 
@@ -48,15 +49,16 @@ def salted_pairs(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder the cluster names in ``spark.checkpoint.dir``; a local one only when Spark itself is local."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder the cluster names in ``spark.checkpoint.dir``; a fresh local one only where Spark itself is local
+    and none is set, as in tests."""
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="fuelspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="fuelspark-"))
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

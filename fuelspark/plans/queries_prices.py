@@ -10,6 +10,7 @@ from fuelspark.plans.catalogue import query
 from fuelspark.plans.sqlviews import avg_price, cents, geohash, hav, jr, man, mean, quote, std_cents
 
 AS_OF = b.AS_OF
+FLAGSHIP = "agg_02_to_04_in_one_pass"
 LAST_DAY = "2024-01-30"
 DESCRIPTIVE = ["id", "name", "brand", "city", "state", "region", "lat", "lng"]
 
@@ -383,10 +384,10 @@ query("flt_11_station_cards", f"""
  SELECT id, regular price, coalesce(nearby,0)::INT nearby, cheapest_id, cheapest_price, dearest_id, dearest_price, national_avg, {jr('regular-national_avg', 2)} vs_national FROM merged LEFT JOIN c USING(id), m""")(
     lambda s, d: spatial.station_cards(merged(s, d).select("id", "lat", "lng", F.col("regular").alias("price"))))
 query("flt_12_weekly_digest", f"""
- WITH w AS (SELECT *, date_trunc('week',"date")::DATE week FROM snapshots), nat AS (SELECT week, fuel, {avg_price()} "avg" FROM w GROUP BY 1,2),
+ WITH w AS (SELECT *, date_trunc('week',"date")::DATE AS week FROM snapshots), nat AS (SELECT week, fuel, {avg_price()} "avg" FROM w GROUP BY 1,2),
  nl AS (SELECT *, lag("avg") OVER (PARTITION BY fuel ORDER BY week) pv FROM nat), ci AS (SELECT week, fuel, city, {avg_price()} a FROM w JOIN stations USING(id) GROUP BY 1,2,3),
  bc AS (SELECT week, fuel, arg_min(city,(a,city)) cheapest_city, min(a) cheapest_city_avg FROM ci GROUP BY 1,2), sn AS (SELECT week, count(DISTINCT id) stations_with_data FROM w GROUP BY 1)
- SELECT week::VARCHAR week, fuel, "avg", ({cents('"avg"')}-{cents('pv')})/100e0 AS change, CASE WHEN {cents('"avg"')}>{cents('pv')} THEN '▲' WHEN {cents('"avg"')}<{cents('pv')} THEN '▼' WHEN pv IS NOT NULL THEN '=' END arrow,
+ SELECT week::VARCHAR AS week, fuel, "avg", ({cents('"avg"')}-{cents('pv')})/100e0 AS change, CASE WHEN {cents('"avg"')}>{cents('pv')} THEN '▲' WHEN {cents('"avg"')}<{cents('pv')} THEN '▼' WHEN pv IS NOT NULL THEN '=' END arrow,
   cheapest_city, cheapest_city_avg, stations_with_data FROM nl LEFT JOIN bc USING(week, fuel) JOIN sn USING(week)""")(
     lambda s, d: fleet.weekly_digest(b.snapshots(s, d), b.stations(s, d)))
 

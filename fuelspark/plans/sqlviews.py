@@ -27,13 +27,13 @@ def avg_price(x: str = "price") -> str:
 
 
 def hav(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
-    a = (f"(pow(sin(radians({lat2}-{lat1})/2),2)+cos(radians({lat1}))*cos(radians({lat2}))"
-         f"*pow(sin(radians({lng2}-{lng1})/2),2))")
+    a = (f"(pow(sin(radians(({lat2})-({lat1}))/2),2)+cos(radians({lat1}))*cos(radians({lat2}))"
+         f"*pow(sin(radians(({lng2})-({lng1}))/2),2))")
     return f"(12742e0*atan2(sqrt({a}),sqrt(1e0-{a})))"
 
 
 def man(lat1: str, lng1: str, lat2: str, lng2: str, k: str = "111.32e0") -> str:
-    return f"(abs({lat1}-{lat2})*{k}+abs({lng1}-{lng2})*({k}*cos(radians(({lat1}+{lat2})/2))))"
+    return f"(abs(({lat1})-({lat2}))*{k}+abs(({lng1})-({lng2}))*({k}*cos(radians((({lat1})+({lat2}))/2))))"
 
 
 def std_cents(c: str = "c") -> str:
