@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fuelspark.llm import neighbours, token_output
+from fuelspark.llm import bpe, decontamination, neighbours, token_output
 from fuelspark.operators.scale import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,13 @@ def op9_token_output(spark, sf_dir):
 @query
 def op10_nearest_neighbours(spark, sf_dir):
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda vec_id: vec_id % 20 == 0)
+
+
+@query
+def op4_decontamination(spark, sf_dir):
+    return decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op7_bpe(spark, sf_dir):
+    return bpe.encode(documents(spark, sf_dir), BYTE_TOKENIZER, with_ids=False)

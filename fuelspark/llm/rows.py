@@ -27,9 +27,9 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def slices(batch: pa.RecordBatch, column: int | None, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, limit: int | None = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch by the bytes of one column of texts."""
-    if column is None or batch.num_rows < 2:
+    if limit is None or batch.num_rows < 2:
         if batch.num_rows:
             yield batch
         return
@@ -44,12 +44,12 @@ def slices(batch: pa.RecordBatch, column: int | None, limit: int = SLICE_BYTES)
 
 def map_rows(
     df: DataFrame, keep: list[str], inputs: list[str | F.Column], fields: list[tuple[str, str]],
-    start: Callable[[], Callable[..., list]], limit: int = SLICE_BYTES,
+    start: Callable[[], Callable[..., list]], limit: int | None = SLICE_BYTES,
 ) -> DataFrame:
     """Rows of ``df`` with the columns ``keep`` and the new ``fields``.
 
     ``start`` runs once per task and returns a function from the input columns (Arrow arrays) to a list or array
-    per field. The first input is the text by which batches are cut to bounded parts.
+    per field. The first input is the text by which batches are cut to bounded parts, unless ``limit`` is None.
     """
     names = [name for name, _ in fields]
     keep = [c for c in keep if c not in names]
