@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fuelspark.llm import bpe, decontamination, neighbours, token_output
+from fuelspark.llm import bpe, decontamination, neighbours, simhash, token_output
 from fuelspark.operators.scale import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ def op4_decontamination(spark, sf_dir):
 @query
 def op7_bpe(spark, sf_dir):
     return bpe.encode(documents(spark, sf_dir), BYTE_TOKENIZER, with_ids=False)
+
+
+@query
+def op8_simhash(spark, sf_dir):
+    return simhash.classes(documents(spark, sf_dir))
