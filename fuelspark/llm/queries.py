@@ -5,7 +5,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fuelspark.llm import bpe, decontamination, neighbours, simhash, token_output
+from fuelspark.llm import bpe, decontamination, language_model, neighbours, simhash, token_output
+from fuelspark.llm.rows import crc_remainder
 from fuelspark.operators.scale import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +50,9 @@ def op7_bpe(spark, sf_dir):
 @query
 def op8_simhash(spark, sf_dir):
     return simhash.classes(documents(spark, sf_dir))
+
+
+@query
+def op5_lm_scoring(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return language_model.scores(docs, crc_remainder(docs["doc_id"], 10) != 0)
