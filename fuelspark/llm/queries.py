@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fuelspark.llm import bpe, decontamination, language_model, neighbours, simhash, token_output
+from fuelspark.llm import bpe, decontamination, language_id, language_model, neighbours, simhash, token_output
 from fuelspark.llm.rows import crc_remainder
 from fuelspark.operators.scale import scratch_path
 
@@ -56,3 +56,11 @@ def op8_simhash(spark, sf_dir):
 def op5_lm_scoring(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return language_model.scores(docs, crc_remainder(docs["doc_id"], 10) != 0)
+
+
+@query
+def op1_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    fold = crc_remainder(docs["doc_id"], 3)
+    model = language_id.fit(docs, fold != 1)
+    return language_id.predict(docs.withColumn("held_out", fold == 1), model, ["doc_id", "held_out"])
