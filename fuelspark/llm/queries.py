@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fuelspark.llm import bpe, decontamination, language_id, language_model, neighbours, simhash, token_output
+from fuelspark.llm import bpe, decontamination, language_id, language_model, neighbours, simhash, token_output, toxicity
 from fuelspark.llm.rows import crc_remainder
 from fuelspark.operators.scale import scratch_path
 
@@ -64,3 +64,16 @@ def op1_language_id(spark, sf_dir):
     fold = crc_remainder(docs["doc_id"], 3)
     model = language_id.fit(docs, fold != 1)
     return language_id.predict(docs.withColumn("held_out", fold == 1), model, ["doc_id", "held_out"])
+
+
+def _label_folds(spark, sf_dir):
+    """Documents with the mark of the held-out fold, and the labels of the other folds."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = crc_remainder(docs["doc_id"], 4) == 2
+    return docs.withColumn("held_out", held_out), labels.filter(crc_remainder(labels["doc_id"], 4) != 2)
+
+
+@query
+def op2_toxicity(spark, sf_dir):
+    docs, labels = _label_folds(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id", "held_out"])
