@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fuelspark.llm import bpe, decontamination, language_id, language_model, neighbours, simhash, token_output, toxicity
+from fuelspark.llm import bpe, decontamination, language_id, language_model, line_dedup, neighbours, simhash, token_output, toxicity
 from fuelspark.llm.rows import crc_remainder
 from fuelspark.operators.scale import scratch_path
 
@@ -77,3 +77,11 @@ def _label_folds(spark, sf_dir):
 def op2_toxicity(spark, sf_dir):
     docs, labels = _label_folds(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id", "held_out"])
+
+
+@query
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.digests(documents(spark, sf_dir))
+
+
+ORACLE["op3_line_dedup"] = line_dedup.ORACLE_SQL
