@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fuelspark.llm import bpe, decontamination, language_id, language_model, line_dedup, neighbours, simhash, token_output, toxicity
+from fuelspark.llm import bpe, decontamination, language_id, language_model, line_dedup, neighbours, quality_crf, simhash, token_output, toxicity
 from fuelspark.llm.rows import crc_remainder
 from fuelspark.operators.scale import scratch_path
 
@@ -85,3 +85,9 @@ def op3_line_dedup(spark, sf_dir):
 
 
 ORACLE["op3_line_dedup"] = line_dedup.ORACLE_SQL
+
+
+@query
+def op6_quality_crf(spark, sf_dir):
+    docs, labels = _label_folds(spark, sf_dir)
+    return quality_crf.score(docs, quality_crf.fit(docs, labels), ["doc_id", "held_out"])
