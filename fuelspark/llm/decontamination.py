@@ -173,7 +173,8 @@ def _search(index: DataFrame, plan: Plan, slack: int) -> DataFrame:
 
 def matches(docs: DataFrame, items: DataFrame, slack: int = 0, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
             item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per document row: doc_id, n_words, hits (places of the words inside matched windows) and the matched items."""
+    """Per document row: doc_id, ``_key`` (hash of its text), n_words, hits (places of the words inside matched windows) and
+    the matched items."""
     spark = docs.sparkSession
     listed = items.select(F.col(quoted(item_col)).cast("bigint").alias("i"), F.col(quoted(item_text_col)).alias("t")).filter("i is not null and t is not null")
     total = listed.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
@@ -186,7 +187,7 @@ def matches(docs: DataFrame, items: DataFrame, slack: int = 0, window: int = WIN
         index = materialize(build_index(docs, vocabulary, window + 2 * slack + 1, id_col, text_col), "postings")
         found.append(_search(index, Plan(own, vocabulary, term_counts(index, len(vocabulary)), window), slack))
     if blocks == 1:
-        return found[0].drop("_key")
+        return found[0]
     # a row's results over all blocks: rows of the same id and text have the same ones
     merged = None
     for f in found:
@@ -196,7 +197,7 @@ def matches(docs: DataFrame, items: DataFrame, slack: int = 0, window: int = WIN
         F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     base = docs.select(F.col(quoted(id_col)).cast("bigint").alias("_d"), F.xxhash64(F.col(quoted(text_col))).alias("_k"))
-    return base.join(merged, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_k") == F.col("_key"))).drop("_d", "_k", "_key")
+    return base.join(merged, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_k") == F.col("_key"))).drop("_d", "_k")
 
 
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -206,3 +207,11 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     return found.select(
         "doc_id", "n_words", F.size("hits").cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, all columns, whose texts match no item."""
+    found = matches(docs, items, id_col=id_col, text_col=text_col, **options).filter("size(hits) > 0").select(F.col("doc_id").alias("_hit_id"), F.col("_key").alias("_hit_key"))
+    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(quoted(text_col))))
+    same = F.col(quoted(id_col)).cast("bigint").eqNullSafe(F.col("_hit_id")) & (F.col("_text_key") == F.col("_hit_key"))
+    return keyed.join(found, same, "left_anti").select(*[quoted(c) for c in docs.columns])

@@ -48,9 +48,10 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
     return held.groupBy("host", "page").agg(F.collect_set("line").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """The documents' columns, the text without boilerplate, and ``n_lines`` and ``n_dropped`` (which replace columns of
-    these names)."""
+def dedup_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+                counts: bool = True) -> DataFrame:
+    """The documents' columns with the text without boilerplate and, if asked for, ``n_lines`` and ``n_dropped`` (which
+    replace columns of these names)."""
     drops = boilerplate(docs, host_col, text_col, ratio, min_pages).select(F.col("host").alias("_host"), F.col("page").alias("_page"), F.col("drop").alias("_drop"))
     text = F.col(quoted(text_col))
     keyed = docs.withColumns({"_host": F.coalesce(F.col(quoted(host_col)), F.lit("")), "_page": F.xxhash64(text)})
@@ -60,9 +61,10 @@ def dedup_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text
     kept = F.filter(lines, lambda x: ~goes(x))
     loses = F.col("_drop").isNotNull() & F.exists(kept, lambda x: F.trim(x) != "")
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("bigint")
-    out = joined.withColumns({"n_lines": n_lines, "n_dropped": F.when(loses, n_lines - F.size(kept)).otherwise(0).cast("bigint"), "_kept": F.when(loses, F.array_join(kept, "\n")).otherwise(text)})
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*[F.col("_kept").alias(c) if c == text_col else F.col(quoted(c)) for c in names], "n_lines", "n_dropped")
+    names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
+    new = [n_lines.alias("n_lines"), F.when(loses, n_lines - F.size(kept)).otherwise(0).cast("bigint").alias("n_dropped")] if counts else []
+    cleaned = F.when(loses, F.array_join(kept, "\n")).otherwise(text)
+    return joined.select(*[cleaned.alias(c) if c == text_col else F.col(quoted(c)) for c in names], *new)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:

@@ -246,8 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The kept columns, score and predicted."""
+def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", threshold: float = THRESHOLD,
+          names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The kept columns, score and predicted (under the given names)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
@@ -259,7 +260,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
 
         return work
 
-    return map_rows(docs, keep, [text_col], [("score", "double"), ("predicted", "int")], start)
+    return map_rows(docs, keep, [text_col], [(names[0], "double"), (names[1], "int")], start)
 
 
 def line_probabilities(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:

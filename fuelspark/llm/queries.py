@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,3 +92,12 @@ ORACLE["op3_line_dedup"] = line_dedup.ORACLE_SQL
 def op6_quality_crf(spark, sf_dir):
     docs, labels = _label_folds(spark, sf_dir)
     return quality_crf.score(docs, quality_crf.fit(docs, labels), ["doc_id", "held_out"])
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

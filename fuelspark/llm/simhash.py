@@ -179,12 +179,32 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint and component_id (the smallest id reachable) for every row."""
-    prints = materialize(fingerprints(docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.col(quoted(text_col)).alias("text")), ["doc_id"]), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Prints (doc_id, key of the text, fp) of every row, and for every fp its component_id and its component's
+    representative: the row with the smallest id, then the smallest key; rows without id come last."""
+    text = F.col(quoted(text_col))
+    rows = docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    prints = materialize(fingerprints(rows, ["doc_id", "key"]), "fingerprints")
+    distinct = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
     roots = components(links(distinct))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = materialize(rooted.join(named, "root").select("fp", "component_id"), "classes")
+    named = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    of = rooted.join(named, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_key"))
+    return prints, materialize(of, "classes")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint and component_id (the smallest id reachable) for every row."""
+    prints, of = _classes(docs, id_col, text_col)
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, all columns: the one with the smallest id (rows without id last); of rows with the
+    same id and text one stays."""
+    _, of = _classes(docs, id_col, text_col)
+    first = of.select(F.col("component_id").alias("_first_id"), F.col("first_key").alias("_first_key")).distinct()
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(quoted(text_col))))
+    id_ = F.col(quoted(id_col)).cast("bigint")
+    kept = keyed.join(first, id_.eqNullSafe(F.col("_first_id")) & (F.col("_key") == F.col("_first_key")))
+    return kept.dropDuplicates([id_col, "_key"]).select(*[quoted(c) for c in docs.columns])
