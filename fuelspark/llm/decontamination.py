@@ -112,7 +112,7 @@ class Plan:
 
 def _matches(plan: Plan, terms: np.ndarray, ends: np.ndarray, positions: np.ndarray, slack: int):
     """(starts, length, items) of the windows found in a segment."""
-    begins = np.append(0, ends[:-1])
+    begins = np.append(0, ends)[: len(ends)]
     at = {int(t): (b, e) for t, b, e in zip(terms, begins, ends, strict=True)}
     for anchor in np.intersect1d(plan.anchors, terms):
         b, e = at[int(anchor)]
