@@ -40,6 +40,8 @@ MIN_COUNT = 3
 LEVEL_BASE = 1.5
 PROBES = 6
 BITS_PER_ENTRY = 9
+# Tokens whose probabilities are computed together within a task.
+PART_TOKENS = 300_000
 # Filter parts sent to the workers at once.
 BLOCK_BYTES = 64_000_000
 END_KEY = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end\x00"))
@@ -284,27 +286,31 @@ def _score_block(chunks: DataFrame, counts: DataFrame, shared, value: np.ndarray
         out = []
         pieces = counted.sort_by("range").column("counts").to_pylist()
         for row in own.to_pylist():
-            ids, keys, ends = unpack(row["ids"]).astype(np.int64), np.frombuffer(row["keys"], "<u8"), np.array(row["ends"])
+            ids, keys, ends = unpack(row["ids"]).view(np.int64), np.frombuffer(row["keys"], "<u8"), np.array(row["ends"])
             c = np.empty(len(keys))
             c[np.argsort(keys)] = np.concatenate([unpack(x) for x in pieces])
-            begins = np.append(0, ends[:-1])
             base = (c + ALPHA) / (train + ALPHA * (distinct + 1))
-            log_base = np.log10(base)
-            before = np.append(0, ids[:-1])
-            pairs = pair_keys(keys[before], keys[ids])
-            level = shared.value.levels(pairs)
-            p = (1 - LAMBDA * kept) * base[ids]
-            hit = level > 0
-            seen = c[before[hit]]
-            p[hit] += LAMBDA * np.minimum(value[level[hit]] / np.maximum(seen, 1), 1.0) * (seen > 0)
-            logs = np.log10(p)
-            if not shared.value.all_here:
-                logs[~shared.value.mine[shared.value.range_of(pairs)]] = 0.0
-            n = len(ends)
-            out.append(pa.table({
-                "_row": pa.array((row["chunk"] * (1 << 20) + np.arange(n)).astype(np.int64)), "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array([not t for t in row["training"]]),
-                "n_tokens": pa.array(ends - begins), "n_known": pa.array(np.add.reduceat((c > 0)[ids].astype(np.int64), begins)),
-                "base_score": pa.array(np.add.reduceat(log_base[ids], begins)), "score": pa.array(np.add.reduceat(logs, begins))}))
+            log_base, known = np.log10(base), (c > 0).astype(np.int64)
+            at = 0
+            while at < len(ends):  # whole documents of about PART_TOKENS at a time
+                begin = int(ends[at - 1]) if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, begin + PART_TOKENS, "right")))
+                own, cuts = ids[begin : ends[stop - 1]], np.append(begin, ends[at : stop - 1]) - begin
+                before = np.append(0, own[:-1])
+                pairs = pair_keys(keys[before], keys[own])
+                level = shared.value.levels(pairs)
+                p = (1 - LAMBDA * kept) * base[own]
+                hit = np.flatnonzero(level)
+                seen = c[before[hit]]
+                p[hit] += LAMBDA * np.minimum(value[level[hit]] / np.maximum(seen, 1), 1.0) * (seen > 0)
+                logs = np.log10(p)
+                if not shared.value.all_here:
+                    logs[~shared.value.mine[shared.value.range_of(pairs)]] = 0.0
+                out.append(pa.table({
+                    "_row": pa.array((row["chunk"] * (1 << 20) + np.arange(at, stop)).astype(np.int64)), "doc_id": pa.array(row["doc_ids"][at:stop], pa.int64()),
+                    "held_out": pa.array([not t for t in row["training"][at:stop]]), "n_tokens": pa.array(np.diff(np.append(cuts, len(own)))),
+                    "n_known": pa.array(np.add.reduceat(known[own], cuts)), "base_score": pa.array(np.add.reduceat(log_base[own], cuts)), "score": pa.array(np.add.reduceat(logs, cuts))}))
+                at = stop
         return pa.concat_tables(out)
 
     schema = "_row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
