@@ -69,22 +69,23 @@ def _alias_contained(key: Column) -> Column:
 def canonical_brand(df: DataFrame, raw: str, out: str = "norm_brand", how: str | None = None) -> DataFrame:
     """Canonical brand: exact alias, contained alias, else the closest spelling.
 
-    Only texts that no alias explains reach the Python side; the others are passed as nulls.
+    Each distinct spelling is resolved once and joined back as the optimizer likes; only spellings that no alias
+    explains are compared in Python.
     """
     known = text.literal_map({a: b for a, b in BRAND_ALIASES.items() if b})
     by_place = F.array(*[F.lit(b).cast("string") for b in BRAND_ALIASES.values()])
-    df = df.withColumn("_key", text.brand_key(F.col(raw)))
-    df = df.withColumn("_exact", F.col("_key").isin(list(BRAND_ALIASES)))
-    df = df.withColumn("_place", F.when(~F.col("_exact"), _alias_contained(F.col("_key"))))
+    spelled = df.select(F.col(raw).alias("_raw")).filter("_raw is not null").distinct().withColumn("_key", text.brand_key(F.col("_raw")))
+    spelled = spelled.withColumn("_exact", F.col("_key").isin(list(BRAND_ALIASES)))
+    spelled = spelled.withColumn("_place", F.when(~F.col("_exact"), _alias_contained(F.col("_key"))))
     open_text = F.when(~F.col("_exact") & F.col("_place").isNull(), F.col("_key"))
-    df = df.withColumn("_near", nearest_brand_udf(open_text))
-    df = df.withColumn(out, F.when(F.col("_exact"), known[F.col("_key")])
-                       .when(F.col("_place").isNotNull(), F.element_at(by_place, F.col("_place") + 1))
-                       .otherwise(F.col("_near")))
+    spelled = spelled.withColumn("_near", nearest_brand_udf(open_text))
+    brand = (F.when(F.col("_exact"), known[F.col("_key")]).when(F.col("_place").isNotNull(), F.element_at(by_place, F.col("_place") + 1)).otherwise(F.col("_near")))
+    score = F.when(F.col("_exact"), 1.0).when(F.col("_place").isNotNull(), 0.85).otherwise(0.70)
+    spelled = spelled.select("_raw", brand.alias("_brand"), score.alias("_score"))
+    joined = df.join(spelled, F.col(raw) == F.col("_raw"), "left").withColumn(out, F.col("_brand"))
     if how:
-        score = F.when(F.col(out).isNull(), 0.0).when(F.col("_exact"), 1.0).when(F.col("_place").isNotNull(), 0.85)
-        df = df.withColumn(how, score.otherwise(0.70))
-    return df.drop("_key", "_exact", "_place", "_near")
+        joined = joined.withColumn(how, F.when(F.col("_brand").isNull(), 0.0).otherwise(F.col("_score")))
+    return joined.drop("_raw", "_brand", "_score")
 
 
 def content_hash() -> Column:

@@ -57,7 +57,7 @@ def _master(rows: DataFrame, canonical: dict[str, Column], as_of: str, base: Col
 
 def master_id(*ids: Column) -> Column:
     """Stable identifier: a rerun over the same members finds the same master."""
-    return F.concat(F.lit("mst_"), F.substring(F.sha2(F.array_join(F.array_sort(F.array(*ids)), "|"), 256), 1, 12))
+    return F.concat(F.lit("mst_"), F.sha2(F.array_join(F.array_sort(F.array(*ids)), "|"), 256))
 
 
 def masters_from_pairs(decisions: DataFrame, staging: DataFrame, as_of: str) -> DataFrame:

@@ -200,6 +200,21 @@ def candidate_counts(keys: DataFrame) -> DataFrame:
     return joined.withColumn("total_pairs", F.col("geo_pairs") + F.col("admin_pairs") - F.col("both_pairs"))
 
 
+def paired_ids(keys: DataFrame) -> DataFrame:
+    """Records that blocking meets with a record of another source, told from the sources of their blocks and of
+    the cells around them. No pair is written out, and pruning plays no part."""
+    def others(groups: DataFrame, on: list[str]) -> DataFrame:
+        return groups.groupBy(*on).agg(F.collect_set("source").alias("_sources"))  # a handful of sources
+
+    block = others(keys.filter("block is not null"), ["block"]).withColumnRenamed("_sources", "_in_block")
+    located = keys.filter("cell_x is not null").select("cell_x", "cell_y", "source").distinct()
+    moved = _around(located, "cell_x", "cell_y").select(F.col("_nx").alias("cell_x"), F.col("_ny").alias("cell_y"), "source")
+    ring = others(moved, ["cell_x", "cell_y"]).withColumnRenamed("_sources", "_in_ring")
+    seen = keys.join(block, "block", "left").join(ring, ["cell_x", "cell_y"], "left")
+    meets = lambda c: F.coalesce(F.exists(c, lambda x: x != F.col("source")), F.lit(False))
+    return seen.filter(meets("_in_block") | meets("_in_ring")).select("id")
+
+
 def admin_block_sizes(keys: DataFrame) -> DataFrame:
     """Records and cross-source pairs of every municipality block, by arithmetic."""
     per_source = keys.filter("block is not null").groupBy("block", "source").agg(F.count(F.lit(1)).alias("n"))
@@ -207,14 +222,6 @@ def admin_block_sizes(keys: DataFrame) -> DataFrame:
     return per_source.groupBy("block").agg(n.alias("records"), ((n * n - squares) / 2).cast("bigint").alias("pairs"))
 
 
-def check_pair_limit(keys: DataFrame, limit: int = 2_000_000) -> int:
-    """Fail before any pair is formed when blocking would meet more pairs than the limit."""
-    total = candidate_counts(keys).first()["total_pairs"]
-    if total > limit:
-        raise RuntimeError(f"blocking meets {total:,} pairs, above the limit of {limit:,}: check state and municipality")
-    return total
-
-
 def changed_pairs(keys: DataFrame, changed: DataFrame, prune: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Candidate pairs with at least one changed record.
 

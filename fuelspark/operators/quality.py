@@ -27,7 +27,6 @@ class Settings:
     low_confidence: float = 0.50
     brand_confidence: float = 0.70
     orphan_days: int = 14
-    orphan_limit: int = 100
     hot_rows: int = HOT_ROWS
 
 
@@ -77,10 +76,10 @@ def duplicate_permits(tables: Tables, settings: Settings) -> DataFrame:
 
 @rule("QA-02", "Permit number on distant masters", "high")
 def distant_permits(tables: Tables, settings: Settings) -> DataFrame:
-    """Pairs of masters with one permit that are more than 5 km apart.
+    """Masters with another one of the same permit more than 5 km away: how many, and the farthest.
 
     A permit whose masters fit in a box with a diagonal below the threshold has no such pair and is
-    dropped after one aggregation.
+    dropped after one aggregation. Pairs are summed as they are formed, so a master is one row.
     """
     m = tables["masters"].filter("pl_number is not null and lat is not null and lng is not null")
     box = m.groupBy("pl_number").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lng").alias("w"), F.max("lng").alias("e"))
@@ -90,12 +89,14 @@ def distant_permits(tables: Tables, settings: Settings) -> DataFrame:
     wide = box.filter(bound_m * 1000 > settings.geo_threshold_m).select("pl_number")
     few = m.select("pl_number", "master_id", "canonical_name", "lat", "lng").join(wide, "pl_number", "left_semi")
     other = few.withColumnsRenamed({"master_id": "master_b", "canonical_name": "name_b", "lat": "lat_b", "lng": "lng_b"})
-    pairs = salted_pairs(few, other, ["pl_number"], "master_id", settings.hot_rows).filter("master_id < master_b")
+    pairs = salted_pairs(few, other, ["pl_number"], "master_id", settings.hot_rows).filter("master_id <> master_b")
     km = haversine_km(F.col("lat"), F.col("lng"), F.col("lat_b"), F.col("lng_b"))
     far = pairs.withColumn("km", km).filter(F.col("km") * 1000 > settings.geo_threshold_m)
+    farthest = F.max(F.struct("km", "master_b"))
+    far = far.groupBy("master_id", "pl_number").agg(F.count(F.lit(1)).alias("others"), farthest.alias("f"))
     return far.select(
-        "master_id", F.format_string("permit %s links %s and %s, %.1f km apart", "pl_number", "master_id", "master_b", js_round(F.col("km"), 1)).alias("detail"),
-        _extra(pl_number=F.col("pl_number"), other=F.col("master_b"), distance_km=js_round(F.col("km"), 2)),
+        "master_id", F.format_string("permit %s is also %.1f km away on %s", "pl_number", js_round(F.col("f.km"), 1), "f.master_b").alias("detail"),
+        _extra(pl_number=F.col("pl_number"), other=F.col("f.master_b"), others=F.col("others"), distance_km=js_round(F.col("f.km"), 2)),
     )
 
 
@@ -171,11 +172,11 @@ def low_confidence(tables: Tables, settings: Settings) -> DataFrame:
 
 @rule("QA-10", "Old staging record without candidate pair", "low")
 def orphans(tables: Tables, settings: Settings) -> DataFrame:
-    """Oldest regulator records without any candidate pair; the report lists 100 of them."""
+    """Regulator records without any candidate pair after two weeks; a report may list the oldest."""
     cutoff = F.timestamp_add("DAY", F.lit(-settings.orphan_days), F.lit(settings.as_of).cast("timestamp_ntz"))
     old = tables["staging"].filter("source = 'cre'").filter(F.col("fetched_at") < cutoff)
     paired = tables["paired_ids"].select("id")
-    rows = old.join(paired, "id", "left_anti").orderBy("fetched_at", "id").limit(settings.orphan_limit)
+    rows = old.join(paired, "id", "left_anti")
     day = F.date_format("fetched_at", "yyyy-MM-dd")
     return rows.select(
         F.lit(None).cast("string").alias("master_id"), F.concat(F.lit("record "), "id", F.lit(" fetched "), day).alias("detail"),
@@ -195,7 +196,7 @@ def run_all(tables: Tables, settings: Settings) -> DataFrame:
             part = r.run(tables, settings)
             part.schema  # forces analysis, so a broken rule fails here
         except Exception as error:  # noqa: BLE001 - any failure of a rule is reported as an issue
-            row = (r.rule_id, "high", None, f"rule failed: {str(error).splitlines()[0][:200]}", {})
+            row = (r.rule_id, "high", None, f"rule failed: {error}", {})
             part = spark.createDataFrame([row], ISSUE_SCHEMA)
         parts.append(part)
     result = parts[0]

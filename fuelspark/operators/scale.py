@@ -7,45 +7,37 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than this many rows and more than 1/HOT_SHARE of its table.
+# Rows of one key that one task may take; a key with more of them on either side is dealt over several.
 HOT_ROWS = 100_000
-HOT_SHARE = 2_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys of the hot groups with a number of salts each.
+def hot_keys(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows on a side, and over how many salts each side of them is dealt.
 
-    At most HOT_SHARE keys can each hold more than 1/HOT_SHARE of the rows, so the result is small
-    whatever the size of the table. Counting combines on the map side.
+    Counting combines on the map side. How many keys are hot grows with the data, so the optimizer chooses how to
+    join them.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total")).scalar()
-    limit = F.greatest(F.lit(hot_rows), total / F.lit(HOT_SHARE))
-    return counts.filter(F.col("_n") > limit).select(
-        *keys, F.least(F.lit(1000), F.ceil(F.col("_n") / F.lit(hot_rows))).cast("int").alias("_salts")
-    )
+    sides = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, F.lit(k).alias("_side"), "_n") for k, df in enumerate((left, right))]
+    salts = [F.ceil(F.coalesce(F.max(F.when(F.col("_side") == k, F.col("_n"))), F.lit(1)) / F.lit(hot_rows)).cast("int").alias(f"_salts_{n}") for k, n in ((0, "a"), (1, "b"))]
+    hot = sides[0].unionByName(sides[1]).filter(F.col("_n") > hot_rows)
+    return hot.groupBy(*keys).agg(*salts)
 
 
 def salted_pairs(
     left: DataFrame, right: DataFrame, keys: list[str], spread_by: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Inner equi-join in which hot keys are spread over salts.
+    """Inner equi-join in which hot keys of either side are dealt over salts.
 
-    Rows of the left side pick one salt by hash, rows of the right side are repeated once per salt,
-    so every pair meets exactly once. Keys that are not hot keep a single salt and are not repeated.
-    The hot-key table has at most HOT_SHARE rows, which is why it may be broadcast.
+    A row picks one salt of its own side by hash and is repeated for every salt of the other side, so every pair
+    meets exactly once. Keys that are not hot have a single salt and are not repeated.
     """
-    hot = F.broadcast(hot_keys(left.select(*keys), keys, hot_rows))
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    spread = (
-        left.join(hot, keys, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(spread_by), salts.cast("bigint")).cast("int"))
-        .drop("_salts")
-    )
-    repeated = (
-        right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    )
-    return spread.join(repeated, [*keys, "_salt"]).drop("_salt")
+    hot = hot_keys(left.select(*keys), right.select(*keys), keys, hot_rows)
+    a, b = (F.coalesce(F.col(f"_salts_{n}"), F.lit(1)) for n in ("a", "b"))
+    own = lambda by, n: F.pmod(by, n.cast("bigint")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    one = left.join(hot, keys, "left").withColumn("_a", own(F.xxhash64(spread_by), a)).withColumn("_b", every(b)).drop("_salts_a", "_salts_b")
+    other = right.join(hot, keys, "left").withColumn("_b", own(F.xxhash64(*right.columns), b)).withColumn("_a", every(a)).drop("_salts_a", "_salts_b")
+    return one.join(other, [*keys, "_a", "_b"]).drop("_a", "_b")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ from fuelspark.functions.lookups import FUELS, HOLIDAYS
 from fuelspark.functions.numeric import js_round
 from fuelspark.operators import anomaly, filters, fleet, prices, spatial, trends
 from fuelspark.plans import bindings as b
-from fuelspark.plans.catalogue import query
+from fuelspark.plans.catalogue import query, stage
 from fuelspark.plans.sqlviews import avg_price, cents, geohash, hav, jr, man, mean, quote, std_cents
 
 AS_OF = b.AS_OF
@@ -15,14 +15,34 @@ LAST_DAY = "2024-01-30"
 DESCRIPTIVE = ["id", "name", "brand", "city", "state", "region", "lat", "lng"]
 
 
+# The feed, the snapshots and the anomalies are tables of the daily run: each is written once per input and read by all
+# queries that start from it.
+
+
+def prices_wide(spark, d):
+    return stage(spark, d, "prices", lambda: b.prices_wide(spark, d))
+
+
+def long_prices(spark, d):
+    return b.to_long(prices_wide(spark, d), "id")
+
+
+def snapshots(spark, d):
+    return stage(spark, d, "snapshots", lambda: b.snapshots(spark, d))
+
+
 def merged(spark, d):
-    return prices.merge_prices(b.stations(spark, d), b.prices_wide(spark, d))
+    return stage(spark, d, "merged", lambda: prices.merge_prices(b.stations(spark, d), prices_wide(spark, d)))
 
 
 def priced(spark, d):
     return b.to_long(merged(spark, d), *DESCRIPTIVE)
 
 
+def anomalies(spark, d):
+    return stage(spark, d, "anomalies", lambda: anomaly.local_anomalies(priced(spark, d)))
+
+
 def dated(df):
     return df.withColumn("date", F.col("date").cast("string"))
 
@@ -40,7 +60,7 @@ query("joi_01_stations_with_prices", "SELECT id, name, brand, city, state, regul
  FROM masters m LEFT JOIN feed p ON p.place_id=m.cre_place_id LEFT JOIN feed q ON q.cre_id=m.cre_id""")
 def prices_by_place_or_permit(spark, d):
     i = F.col("id")
-    feed = b.prices_wide(spark, d).select(
+    feed = prices_wide(spark, d).select(
         F.when(i % 2 == 0, i.cast("string")).alias("place_id"),
         F.when((i % 2 == 1) | (i % 3 == 0), F.concat(F.lit("PL/"), i + 1)).alias("cre_id"), *FUELS)
     return prices.merge_prices_fallback(b.masters(spark, d), feed).select("master_id", *FUELS)
@@ -55,14 +75,14 @@ def _change_sql(days):
     return _CHANGE.format(ct=ct, cy=cy, days=days, pct=jr(f"(({ct}-{cy})/100e0)/y.price*100", 1))
 
 
-query("joi_12_day_over_day_change", _change_sql(1))(lambda s, d: dated(trends.price_change(b.snapshots(s, d), 1)))
-query("joi_13_week_over_week_change", _change_sql(7))(lambda s, d: dated(trends.price_change(b.snapshots(s, d), 7)))
+query("joi_12_day_over_day_change", _change_sql(1))(lambda s, d: dated(trends.price_change(snapshots(s, d), 1)))
+query("joi_13_week_over_week_change", _change_sql(7))(lambda s, d: dated(trends.price_change(snapshots(s, d), 7)))
 
 query("joi_14_transactions_with_reference_price", f"""
  SELECT tx_id, vehicle_id, station_id, tx.fuel, charged_price, price reference_price, ({cents('charged_price')}-{cents('price')})/100e0 delta
  FROM tx JOIN prices p ON p.id=tx.station_id AND p.fuel=tx.fuel""")(
     lambda s, d: b.transactions(s, d).join(
-        b.prices(s, d).select(F.col("id").alias("station_id"), "fuel", F.col("price").alias("reference_price")), ["station_id", "fuel"]
+        long_prices(s, d).select(F.col("id").alias("station_id"), "fuel", F.col("price").alias("reference_price")), ["station_id", "fuel"]
     ).select("tx_id", "vehicle_id", "station_id", "fuel", "charged_price", "reference_price",
              js_round(F.col("charged_price") - F.col("reference_price"), 2).alias("delta")))
 
@@ -76,7 +96,7 @@ def _stats_sql(source, groups):
  CASE WHEN min(price)=max(price) THEN 0e0 ELSE {jr(std_cents(c) + '/100e0', 3)} END std_dev, count(*) "count" FROM {source} GROUP BY {groups}"""
 
 
-query("agg_01_price_statistics", _stats_sql("priced", "fuel"))(lambda s, d: prices.price_statistics(b.prices(s, d), "fuel"))
+query("agg_01_price_statistics", _stats_sql("priced", "fuel"))(lambda s, d: prices.price_statistics(long_prices(s, d), "fuel"))
 query("agg_01_price_statistics_by_state", _stats_sql("priced", "state, fuel"))(
     lambda s, d: prices.price_statistics(priced(s, d), "state", "fuel"))
 
@@ -98,7 +118,7 @@ query("agg_05_national_summary", f"""
 query("agg_06_app_statistics", f"""
  SELECT fuel, {avg_price('p.price')} "avg", count(*) "count", min(p.price) "min", max(p.price) "max",
   arg_min(p.id, (p.price, p.id)) FILTER (p.id NOT IN (SELECT id FROM anomalies)) cheapest_id, min(p.price) FILTER (p.id NOT IN (SELECT id FROM anomalies)) cheapest_price
- FROM priced p GROUP BY fuel""")(lambda s, d: prices.app_statistics(priced(s, d), anomaly.local_anomalies(priced(s, d))))
+ FROM priced p GROUP BY fuel""")(lambda s, d: prices.app_statistics(priced(s, d), anomalies(s, d)))
 
 query("agg_07_counts", """
  SELECT 'brand' kind, coalesce(brand,'OTRO') AS name, count(*) "count" FROM stations GROUP BY 2 UNION ALL
@@ -110,7 +130,7 @@ query("agg_07_counts", """
 query("agg_08_anomaly_summary", " UNION ALL ".join(
     [f"SELECT 'total' measure, 'all' AS name, count(*) \"count\" FROM anomalies"] +
     [f"SELECT '{c}', {c}, count(*) FROM anomalies GROUP BY {c}" for c in ("direction", "severity", "city", "brand")]))(
-    lambda s, d: anomaly.summary(anomaly.local_anomalies(priced(s, d))))
+    lambda s, d: anomaly.summary(anomalies(s, d)))
 
 _SPEND = f"""sum({cents('charged_price')}*liters)/100e0 pesos, sum(liters) liters, count(*) tx_count, {jr(f"sum({cents('charged_price')}*liters)/sum(liters)/100e0", 2)} price_per_liter"""
 query("agg_09_fleet_spend", f"""
@@ -120,7 +140,7 @@ query("agg_09_fleet_spend", f"""
 
 query("agg_10_best_in_compared_set", """
  SELECT id%10 set_id, fuel, id, price, min(price) OVER (PARTITION BY id%10, fuel) best_price, price=min(price) OVER (PARTITION BY id%10, fuel) is_best FROM prices""")(
-    lambda s, d: prices.best_in_set(b.prices(s, d).withColumn("set_id", F.col("id") % 10), "set_id"))
+    lambda s, d: prices.best_in_set(long_prices(s, d).withColumn("set_id", F.col("id") % 10), "set_id"))
 
 query("agg_14_distinct_lists", "SELECT 'brand' kind, brand AS name FROM stations WHERE brand<>'' AND brand<>'OTRO' GROUP BY 2 UNION ALL SELECT 'state', state FROM stations WHERE state<>'' GROUP BY 2")(
     lambda s, d: prices.distinct_values(b.stations(s, d), "brand", "OTRO").withColumn("kind", F.lit("brand")).unionByName(
@@ -138,14 +158,14 @@ query("agg_15_open_24h", "SELECT count(*) FILTER (id%3=0) open_24h FROM stations
 
 _RECENT = '(SELECT * FROM snapshots WHERE "date" IN (SELECT DISTINCT "date" FROM snapshots ORDER BY 1 DESC LIMIT {n}))'
 query("ts_01_price_history", f'SELECT id, "date"::VARCHAR "date", fuel, price FROM {_RECENT.format(n=7)}')(
-    lambda s, d: dated(trends.price_history(b.snapshots(s, d), 7)))
+    lambda s, d: dated(trends.price_history(snapshots(s, d), 7)))
 _DAILY = f'(SELECT "date", fuel, {avg_price()} price FROM {_RECENT.format(n=30)} GROUP BY 1,2)'
 query("ts_02_daily_national_average", f'SELECT "date"::VARCHAR "date", fuel, price FROM {_DAILY}')(
-    lambda s, d: dated(trends.daily_national_average(b.snapshots(s, d))))
+    lambda s, d: dated(trends.daily_national_average(snapshots(s, d))))
 query("ts_03_moving_average", f"""
  SELECT id, "date"::VARCHAR "date", fuel, price, {mean(f"sum({cents('price')}) OVER w", "count(*) OVER w")} ma FROM snapshots
  WINDOW w AS (PARTITION BY id, fuel ORDER BY "date" ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")(
-    lambda s, d: dated(trends.moving_average(b.snapshots(s, d), ["id", "fuel"])))
+    lambda s, d: dated(trends.moving_average(snapshots(s, d), ["id", "fuel"])))
 
 
 def _fit_sql(source, keys):
@@ -163,17 +183,17 @@ def _trend_sql(source, keys):
  FROM ({_fit_sql(f'(SELECT * FROM {_numbered(source, keys)} WHERE bk<=7)', keys)})"""
 
 
-query("ts_04_trend_direction", _trend_sql("snapshots", "id, fuel"))(lambda s, d: trends.trend_direction(b.snapshots(s, d), ["id", "fuel"]))
+query("ts_04_trend_direction", _trend_sql("snapshots", "id, fuel"))(lambda s, d: trends.trend_direction(snapshots(s, d), ["id", "fuel"]))
 query("ts_05_volatility", f"""SELECT id, fuel, count(*) n, CASE WHEN count(*)<2 OR min(price)=max(price) THEN 0e0 ELSE {jr(std_cents(cents('price')) + '/100e0', 3)} END volatility
- FROM snapshots GROUP BY 1,2""")(lambda s, d: trends.volatility(trends.price_history(b.snapshots(s, d)), ["id", "fuel"]))
+ FROM snapshots GROUP BY 1,2""")(lambda s, d: trends.volatility(trends.price_history(snapshots(s, d)), ["id", "fuel"]))
 query("ts_06_weekday_pattern", f"""
  SELECT k.id, k.fuel, dd::INT day_of_week, avg_price FROM (SELECT DISTINCT id, fuel FROM snapshots) k CROSS JOIN range(7) r(dd)
  LEFT JOIN (SELECT id, fuel, dayofweek("date") w, {avg_price()} avg_price FROM snapshots GROUP BY 1,2,3) a ON a.id=k.id AND a.fuel=k.fuel AND w=dd""")(
-    lambda s, d: trends.weekday_pattern(b.snapshots(s, d), ["id", "fuel"]))
+    lambda s, d: trends.weekday_pattern(snapshots(s, d), ["id", "fuel"]))
 for falling in (True, False):
     query(f"ts_07_most_{'improved' if falling else 'worsened'}", f"""
  SELECT * FROM ({_change_sql(7)}) WHERE "date"='{LAST_DAY}' AND fuel='regular' AND change{'<' if falling else '>'}0 ORDER BY change {'ASC' if falling else 'DESC'}, id LIMIT 10""")(
-        lambda s, d, f=falling: dated(trends.biggest_moves(b.snapshots(s, d), LAST_DAY, "regular", f)))
+        lambda s, d, f=falling: dated(trends.biggest_moves(snapshots(s, d), LAST_DAY, "regular", f)))
 
 
 def _forecast_sql(source, keys):
@@ -184,11 +204,11 @@ def _forecast_sql(source, keys):
 
 
 query("ts_08_price_forecast", _forecast_sql("snapshots", "id, fuel"))(
-    lambda s, d: trends.forecast(trends.price_history(b.snapshots(s, d)), ["id", "fuel"]))
+    lambda s, d: trends.forecast(trends.price_history(snapshots(s, d)), ["id", "fuel"]))
 query("ts_09_weekly_state_forecast", f"""
  WITH f AS ({_forecast_sql(_DAILY, 'fuel')}) SELECT state, fuel, {jr('(predicted+predicted+slope*7)/2', 2)} avg_predicted, '2024-02-01' week_start, '2024-02-07' week_end, trend, data_points
  FROM (SELECT DISTINCT state, fuel FROM priced) JOIN f USING(fuel)""")(
-    lambda s, d: trends.weekly_state_forecast(b.snapshots(s, d), prices.average_by(priced(s, d), "state", "fuel"), AS_OF))
+    lambda s, d: trends.weekly_state_forecast(snapshots(s, d), prices.average_by(priced(s, d), "state", "fuel"), AS_OF))
 
 
 _HOLIDAYS = ",".join(f"({i},{quote(md)},{quote(n)})" for i, (md, n) in enumerate(HOLIDAYS))
@@ -205,26 +225,26 @@ _ARROW = "CASE WHEN {d}>5 THEN '▲' WHEN {d}<-5 THEN '▼' WHEN {d} IS NOT NULL
 query("ts_11_change_arrows", f"""
  SELECT id, "date"::VARCHAR "date", fuel, price, previous, {_ARROW.format(d=f"({cents('price')}-{cents('previous')})")} arrow
  FROM (SELECT *, lag(price) OVER (PARTITION BY id, fuel ORDER BY "date") previous FROM snapshots)""")(
-    lambda s, d: dated(trends.change_arrows(b.snapshots(s, d))))
+    lambda s, d: dated(trends.change_arrows(snapshots(s, d))))
 query("ts_11_week_arrow", f"""
  SELECT id, fuel, points, first_price, last_price, CASE WHEN points>=2 THEN {_ARROW.format(d=f"({cents('last_price')}-{cents('first_price')})")} END arrow
  FROM (SELECT id, fuel, count(*) points, arg_min(price, "date") first_price, arg_max(price, "date") last_price FROM {_numbered('snapshots', 'id, fuel')} WHERE bk<=7 GROUP BY 1,2)""")(
-    lambda s, d: trends.week_arrow(b.snapshots(s, d)))
+    lambda s, d: trends.week_arrow(snapshots(s, d)))
 query("ts_12_versus_average", f"""
  SELECT id, fuel, price, "avg", {jr('price-"avg"', 2)} AS "value", {jr('(price-"avg")/"avg"*100', 1)} pct, CASE WHEN price-"avg">0.005e0 THEN 'above' WHEN price-"avg"<-0.005e0 THEN 'below' ELSE 'equal' END direction
- FROM prices JOIN (SELECT fuel, {avg_price()} "avg" FROM prices GROUP BY 1) USING(fuel)""")(lambda s, d: prices.versus_average(b.prices(s, d)))
+ FROM prices JOIN (SELECT fuel, {avg_price()} "avg" FROM prices GROUP BY 1) USING(fuel)""")(lambda s, d: prices.versus_average(long_prices(s, d)))
 for name, op, order in (("cheapest", prices.cheapest, "price, id"), ("dearest", prices.dearest, "price DESC, id")):
     query(f"ts_13_{name}", f"SELECT id, fuel, price FROM prices WHERE fuel='regular' ORDER BY {order} LIMIT 10")(
-        lambda s, d, op=op: op(b.prices(s, d).filter("fuel = 'regular'")))
+        lambda s, d, op=op: op(long_prices(s, d).filter("fuel = 'regular'")))
 query("ts_14_cheapest_decile", """
  SELECT id, p.fuel, price, v[(len(v)//10)+1] decile_price, price<=v[(len(v)//10)+1] is_cheapest FROM prices p
- JOIN (SELECT fuel, list_sort(list(price)) v FROM prices GROUP BY 1) USING(fuel)""")(lambda s, d: prices.cheapest_decile(b.prices(s, d)))
+ JOIN (SELECT fuel, list_sort(list(price)) v FROM prices GROUP BY 1) USING(fuel)""")(lambda s, d: prices.cheapest_decile(long_prices(s, d)))
 query("ts_15_price_band", """
  SELECT id, fuel, price, CASE WHEN hi=lo THEN 'flat' WHEN (price-lo)/(hi-lo)<=0.33e0 THEN 'low' WHEN (price-lo)/(hi-lo)<=0.66e0 THEN 'middle' ELSE 'high' END band
- FROM prices JOIN (SELECT fuel, min(price) lo, max(price) hi FROM prices GROUP BY 1) USING(fuel)""")(lambda s, d: prices.price_band(b.prices(s, d)))
+ FROM prices JOIN (SELECT fuel, min(price) lo, max(price) hi FROM prices GROUP BY 1) USING(fuel)""")(lambda s, d: prices.price_band(long_prices(s, d)))
 query("ts_16_missed_days", """
  SELECT id, fuel, least(30, coalesce(datediff('day', max("date") FILTER ("date"<=DATE '2024-01-30'), DATE '2024-01-30'), 30))::INT missed_days FROM snapshots GROUP BY 1,2""")(
-    lambda s, d: trends.missed_days(b.snapshots(s, d), ["id", "fuel"], AS_OF))
+    lambda s, d: trends.missed_days(snapshots(s, d), ["id", "fuel"], AS_OF))
 query("ts_17_freshness", f"""
  SELECT master_id, CASE WHEN ds<1 THEN 'today' WHEN ds<7 THEN 'recent' WHEN ds<80 THEN 'ok' ELSE 'stale' END freshness,
   CASE WHEN ds*24<12 THEN 'fresh' WHEN ds*24<24 THEN 'recent' WHEN ds*24<48 THEN 'aging' ELSE 'stale' END feed_freshness
@@ -237,23 +257,23 @@ query("ts_17_freshness", f"""
 
 ANOMALY_COLUMNS = ["id", "name", "brand", "city", "state", "fuel", "price", "local_avg", "z_score", "direction", "nearby_count", "severity"]
 query("ano_01_local_anomalies", f"SELECT {', '.join(ANOMALY_COLUMNS)} FROM anomalies")(
-    lambda s, d: anomaly.ordered(anomaly.local_anomalies(priced(s, d))).select(*ANOMALY_COLUMNS))
+    lambda s, d: anomaly.ordered(anomalies(s, d)).select(*ANOMALY_COLUMNS))
 query("ano_02_fence_only", f"""SELECT id, fuel, price, {mean('s', 'nearby_count')} local_avg, {jr('z', 2)} z_score, nearby_count FROM judged
- WHERE outside AND (SELECT count(*) FROM anomalies)>=0""")(
+ WHERE outside""")(
     lambda s, d: anomaly.local_anomalies(priced(s, d), method="iqr").select("id", "fuel", "price", "local_avg", "z_score", "nearby_count"))
 query("ano_03_zscore_only", f"""SELECT id, fuel, price, {mean('s', 'nearby_count')} local_avg, {jr('z', 2)} z_score, nearby_count FROM judged
- WHERE by_z AND (SELECT count(*) FROM anomalies)>=0""")(
+ WHERE by_z""")(
     lambda s, d: anomaly.local_anomalies(priced(s, d), method="zscore").select("id", "fuel", "price", "local_avg", "z_score", "nearby_count"))
 query("ano_04_most_severe", f"""SELECT {', '.join(ANOMALY_COLUMNS)} FROM anomalies
  ORDER BY CASE severity WHEN 'severe' THEN 0 WHEN 'moderate' THEN 1 ELSE 2 END, abs(z_score) DESC, id, fuel LIMIT 20""")(
-    lambda s, d: anomaly.local_anomalies(priced(s, d)).select(*ANOMALY_COLUMNS).orderBy(
+    lambda s, d: anomalies(s, d).select(*ANOMALY_COLUMNS).orderBy(
         anomaly.severity_rank(), F.abs("z_score").desc(), "id", "fuel").limit(20))
 query("ano_05_global_outliers", f"""
- SELECT id, bool_or(n>10 AND abs({cents('price')}-mu)>2*sd) is_global_anomaly FROM prices JOIN
+ SELECT id, bool_or(n>10 AND abs({cents('price')}-mu)>3*sd) is_global_anomaly FROM prices JOIN
  (SELECT fuel, count(*) n, sum({cents('price')})/count(*) mu, {std_cents(cents('price'))} sd FROM prices GROUP BY 1) USING(fuel) GROUP BY 1""")(
-    lambda s, d: anomaly.global_outliers(b.prices(s, d), sigmas=2.0))
+    lambda s, d: anomaly.global_outliers(long_prices(s, d)))
 query("ano_06_tagged_stations", "SELECT id, name, id IN (SELECT id FROM anomalies) is_local_anomaly FROM stations")(
-    lambda s, d: anomaly.tag_stations(b.stations(s, d), anomaly.local_anomalies(priced(s, d))).select("id", "name", "is_local_anomaly"))
+    lambda s, d: anomaly.tag_stations(b.stations(s, d), anomalies(s, d)).select("id", "name", "is_local_anomaly"))
 
 # --- fleet ------------------------------------------------------------------------------------------
 
@@ -262,14 +282,14 @@ query("flt_01_card_abuse", f"""
  SELECT tx_id, vehicle_id, station_id, "date"::VARCHAR "date", liters, charged_price, fuel, reference_price, delta, {jr(_RISK, 2)} risk_score,
   CASE WHEN {_RISK}>0.66e0 THEN 'high' WHEN {_RISK}>0.33e0 THEN 'medium' ELSE 'low' END severity, {jr('delta*liters', 2)} total_overcharge
  FROM (SELECT tx.*, price reference_price, ({cents('charged_price')}-{cents('price')})/100e0 delta FROM tx JOIN prices p ON p.id=station_id AND p.fuel=tx.fuel) WHERE delta>1.5""")(
-    lambda s, d: dated(fleet.card_abuse(b.transactions(s, d), b.prices(s, d))))
+    lambda s, d: dated(fleet.card_abuse(b.transactions(s, d), long_prices(s, d))))
 _M = f"(SELECT fuel, {avg_price()} avg_price FROM prices GROUP BY 1)"
 query("flt_02_fill_savings", f"""
  SELECT *, {jr('monthly_pesos*12', 2)} annual_pesos, {jr('monthly_usd*12', 2)} annual_usd FROM (SELECT *, {jr('saved_pesos*4', 2)} monthly_pesos, {jr('saved_usd*4', 2)} monthly_usd FROM (
  SELECT *, {jr('saved_pesos/17.5e0', 2)} saved_usd FROM (SELECT id, fuel, price, avg_price, {jr("gap*40", 2)} saved_pesos, {jr('gap/avg_price*100', 1)} percent_saved
- FROM (SELECT *, ({cents('avg_price')}-{cents('price')})/100e0 gap FROM prices JOIN {_M} USING(fuel)))))""")(lambda s, d: fleet.fill_savings(b.prices(s, d)))
+ FROM (SELECT *, ({cents('avg_price')}-{cents('price')})/100e0 gap FROM prices JOIN {_M} USING(fuel)))))""")(lambda s, d: fleet.fill_savings(long_prices(s, d)))
 query("flt_02_tank_saving", f"""SELECT id, fuel, CASE WHEN (avg_price-price)*50>0.5e0 THEN {jr('(avg_price-price)*50', 2)} END saving FROM prices JOIN {_M} USING(fuel)""")(
-    lambda s, d: prices.versus_average(b.prices(s, d)).select("id", "fuel", js_round(fleet.tank_saving(F.col("price"), F.col("avg")), 2).alias("saving")))
+    lambda s, d: prices.versus_average(long_prices(s, d)).select("id", "fuel", js_round(fleet.tank_saving(F.col("price"), F.col("avg")), 2).alias("saving")))
 
 
 def trip_options(spark, d):
@@ -312,7 +332,7 @@ query("flt_05_trip_fill", f"""
   CASE WHEN fill>0 THEN {jr('fill*mean', 2)} END cost_mean, fill<=0 enough FROM (SELECT *, greatest(0e0,need-board) fill FROM (
   SELECT c_custkey trip_id, ['regular','premium','diesel'][c_custkey%3+1] fuel, (100e0+c_custkey%900)/(8e0+c_custkey%9) need, (40e0+c_custkey%21)*((c_custkey%101)/100e0) board, 8e0+c_custkey%9 kl FROM customer)
   LEFT JOIN (SELECT fuel, min(price) lowest, sum({cents('price')})/count(*)/100e0 mean FROM prices GROUP BY 1) USING(fuel))""")(
-    lambda s, d: fleet.trip_fill(trips(s, d), b.prices(s, d)))
+    lambda s, d: fleet.trip_fill(trips(s, d), long_prices(s, d)))
 _LEN = f"""(SELECT route_id, count(*) points, {jr('coalesce(sum(floor(leg*1000000+0.5e0)::BIGINT),0)/1000000e0', 3)} length_km FROM (
  SELECT route_id, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} leg FROM route_points WINDOW w AS (PARTITION BY route_id ORDER BY seq)) GROUP BY 1)"""
 query("flt_06_route_length", f"SELECT * FROM {_LEN}")(lambda s, d: fleet.route_length(b.route_points(s, d)))
@@ -348,9 +368,8 @@ query("flt_07_route_trip_cost", f"""
 
 def flagged(spark, d):
     """Priced stations with the local anomaly flag."""
-    p = priced(spark, d)
-    flags = anomaly.local_anomalies(p).select("id").distinct().withColumn("is_anomaly", F.lit(True))
-    return p.join(flags, "id", "left").fillna(False, ["is_anomaly"])
+    flags = anomalies(spark, d).select("id").distinct().withColumn("is_anomaly", F.lit(True))
+    return stage(spark, d, "flagged", lambda: priced(spark, d).join(flags, "id", "left").fillna(False, ["is_anomaly"]))
 
 
 query("flt_08_cheaper_alternatives", """
@@ -389,7 +408,7 @@ query("flt_12_weekly_digest", f"""
  bc AS (SELECT week, fuel, arg_min(city,(a,city)) cheapest_city, min(a) cheapest_city_avg FROM ci GROUP BY 1,2), sn AS (SELECT week, count(DISTINCT id) stations_with_data FROM w GROUP BY 1)
  SELECT week::VARCHAR AS week, fuel, "avg", ({cents('"avg"')}-{cents('pv')})/100e0 AS change, CASE WHEN {cents('"avg"')}>{cents('pv')} THEN '▲' WHEN {cents('"avg"')}<{cents('pv')} THEN '▼' WHEN pv IS NOT NULL THEN '=' END arrow,
   cheapest_city, cheapest_city_avg, stations_with_data FROM nl LEFT JOIN bc USING(week, fuel) JOIN sn USING(week)""")(
-    lambda s, d: fleet.weekly_digest(b.snapshots(s, d), b.stations(s, d)))
+    lambda s, d: fleet.weekly_digest(snapshots(s, d), b.stations(s, d)))
 
 # --- spatial joins ----------------------------------------------------------------------------------
 

@@ -167,22 +167,22 @@ def lcs_sql(need: str) -> str:
 
 
 FUEL_OF_FLAG = "CASE l_returnflag WHEN 'A' THEN 'regular' WHEN 'N' THEN 'premium' WHEN 'R' THEN 'diesel' END"
-FUEL_OF_EVENT = "CASE event_type WHEN 'view' THEN 'regular' WHEN 'click' THEN 'premium' WHEN 'purchase' THEN 'diesel' END"
+FUEL_OF_EVENT = "CASE WHEN event_type IN ('view','signup') THEN 'regular' WHEN event_type IN ('click','error') THEN 'premium' WHEN event_type='purchase' THEN 'diesel' END"
 _LB = "(substr(l.p_brand,7,3)::INT)%8+1"
 
 VIEWS = {
     "stations": """stations AS (SELECT s_suppkey id, s_name AS name, 'BRAND_'||(s_suppkey%7) brand, 'CITY_'||(s_suppkey%12) city,
- n_name state, r_name region, 19e0+((s_suppkey*37)%100)/250e0 lat, -99.4e0+((s_suppkey*53)%97)/240e0 lng
- FROM supplier JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey)""",
-    "prices": f"""prices AS (SELECT id, fuel, floor(s/(n*2000e0)+0.5e0)/100e0 price FROM (SELECT l_suppkey id, {FUEL_OF_FLAG} fuel,
- sum({cents('l_extendedprice')}) s, count(*) n FROM lineitem WHERE l_suppkey%10<>9 GROUP BY 1,2) WHERE fuel IS NOT NULL)""",
+ n_name state, r_name region, 19e0+((s_suppkey*37)%100)/500e0 lat, -99.4e0+((s_suppkey*53)%97)/480e0 lng
+ FROM (SELECT s_suppkey, s_name, s_nationkey FROM supplier UNION ALL SELECT n_nationkey+1000000, 'Planned '||n_name, n_nationkey FROM nation) JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey)""",
+    "prices": f"""prices AS (SELECT id, fuel, floor(s*(CASE WHEN id%41=7 THEN 13 ELSE 10 END)/(n*20000e0)+0.5e0)/100e0 price FROM (SELECT l_suppkey id, {FUEL_OF_FLAG} fuel,
+ sum({cents('l_extendedprice')}) s, count(*) n FROM lineitem GROUP BY 1,2) WHERE fuel IS NOT NULL)""",
     "pw": """pw AS (SELECT id, max(price) FILTER (fuel='regular') regular, max(price) FILTER (fuel='premium') premium,
  max(price) FILTER (fuel='diesel') diesel FROM prices GROUP BY id)""",
     "merged": """merged AS (SELECT s.*, regular, premium, diesel, coalesce(regular,premium,diesel) IS NOT NULL has_data
  FROM stations s LEFT JOIN pw USING(id))""",
     "priced": "priced AS (SELECT s.*, fuel, price FROM stations s JOIN prices USING(id))",
     "snapshots": f"""snapshots AS (SELECT user_id%15 id, CAST(ts AS DATE) "date", {FUEL_OF_EVENT} fuel, {avg_price('value')} price
- FROM events WHERE event_type IN ('view','click','purchase') GROUP BY 1,2,3)""",
+ FROM events GROUP BY 1,2,3)""",
     "tx": f"""tx AS (SELECT l_orderkey||'-'||l_linenumber tx_id, o_custkey vehicle_id, l_suppkey station_id, CAST(l_shipdate AS DATE) "date", l_quantity liters,
  floor(l_extendedprice*100/2000e0+0.5e0)/100e0 charged_price, {FUEL_OF_FLAG} fuel FROM lineitem JOIN orders ON l_orderkey=o_orderkey)""",
     "route_points": """route_points AS (SELECT (c_custkey//150)*10+(c_custkey%150)%10 route_id, (c_custkey%150)//10 seq,
@@ -194,9 +194,9 @@ VIEWS = {
  CASE WHEN r=0 THEN {_pick(BRAND_SPELLINGS['cre'], 'b')} WHEN r=1 THEN {_pick(BRAND_SPELLINGS['osm'], 'b')} WHEN z%2=0 THEN {_pick(BRAND_SPELLINGS['denue'], 'b')} END raw_brand,
  CASE WHEN r=0 THEN 'AV. '||ty||' No. '||z||' COL. '||nm WHEN r=1 THEN 'Avenida '||ty||' '||z
    WHEN z%5<>0 THEN 'CALLE '||ty||' #'||z||', COLONIA '||nm END raw_address,
- 'Mún '||z||CASE WHEN r=1 THEN ', Jal.' ELSE '' END raw_municipality, CASE WHEN r=1 THEN lower(ty) ELSE ty END raw_state,
+ CASE WHEN r=0 AND g%50=7 THEN 'Isla '||k ELSE 'Mún '||z||CASE WHEN r=1 THEN ', Jal.' ELSE '' END END raw_municipality, CASE WHEN r=1 THEN lower(ty) ELSE ty END raw_state,
  CASE WHEN r=1 THEN 'C.P. '||(z+1000) ELSE (z+1000)::VARCHAR END raw_zip,
- CASE WHEN r=2 AND z%10=0 THEN NULL ELSE 19e0+((g*37)%1000)/500e0+r*0.0005e0 END lat,
+ CASE WHEN r=2 AND z%10=0 THEN NULL ELSE 19e0+((g*37)%1000)/500e0+r*0.0005e0+CASE WHEN r=0 AND g%50=7 THEN 5e0 ELSE 0e0 END END lat,
  CASE WHEN r=2 AND z%10=0 THEN NULL ELSE -100e0+((g*53)%997)/500e0 END lng,
  CASE WHEN r=0 THEN 'PL/'||(g//2)||'/EXP/ES/2015' END cre_id, TIMESTAMP '2024-01-31' - to_days((g%40)::INT) fetched_at, k
  FROM (SELECT p.p_partkey k, p.p_partkey%3 r, p.p_partkey//3 g, l.p_name nm, l.p_type ty, l.p_size z, {_LB} b
@@ -286,23 +286,23 @@ VIEWS["masters"] = f"""masters AS (SELECT 'mst_'||lpad(c_custkey::VARCHAR,12,'0'
  TIMESTAMP '{AS_OF}' - to_days((c_custkey%200)::INT) last_refreshed_at, TIMESTAMP '{AS_OF}' - to_days((c_custkey%120)::INT) last_confirmed_at,
  c_custkey%23=0 name_drift_flag, c_custkey%5=0 review_flag, CASE WHEN c_custkey%46=0 THEN 'renamed by owner' END review_reason, c_custkey k FROM customer)"""
 VIEWS["reports"] = f"""reports AS (SELECT event_id report_id, ts, event_id%40 user_id, user_id id, {FUEL_OF_EVENT} fuel, value price,
- 19e0+((user_id*37)%100)/250e0+(event_id%10)*0.001e0 lat, -99.4e0+((user_id*53)%97)/240e0 lng FROM events WHERE event_type IN ('view','click','purchase'))"""
+ 19e0+((user_id*37)%100)/500e0+(event_id%10)*0.001e0 lat, -99.4e0+((user_id*53)%97)/480e0 lng FROM events)"""
 VIEWS["reports_ok"] = f"""reports_ok AS (SELECT r.* FROM reports r JOIN stations s USING(id) WHERE price BETWEEN 5 AND 50 AND {hav('r.lat', 'r.lng', 's.lat', 's.lng')}<=0.6e0)"""
 _LOCAL_Z = "CASE WHEN lo<hi THEN (c-mu)/sd WHEN c=lo THEN 0e0 WHEN abs(c-mu)/mu>0.05e0 THEN sgn*2.5e0 END"
-VIEWS["anomalies"] = f"""local_stats AS (SELECT a.id, a.fuel, count(*) nearby_count, sum({cents('b.price')}) s, {std_cents(cents('b.price'))} sd, min({cents('b.price')}) lo, max({cents('b.price')}) hi,
+VIEWS["local_stats"] = f"""local_stats AS (SELECT a.id, a.fuel, count(*) nearby_count, sum({cents('b.price')}) s, {std_cents(cents('b.price'))} sd, min({cents('b.price')}) lo, max({cents('b.price')}) hi,
  quantile_cont({cents('b.price')}::DOUBLE,0.25) q1, quantile_cont({cents('b.price')}::DOUBLE,0.75) q3
  FROM priced a JOIN priced b ON a.fuel=b.fuel AND a.id<>b.id AND {jr(hav('a.lat', 'a.lng', 'b.lat', 'b.lng'), 2)}<=10
- WHERE a.fuel IN (SELECT fuel FROM priced GROUP BY fuel HAVING count(*)>=3) GROUP BY 1,2 HAVING count(*)>=2),
- judged AS (SELECT *, coalesce({_LOCAL_Z}, sgn*1.5e0) z, coalesce(abs({_LOCAL_Z})>=1.5e0,false) by_z, c<q1-1.5e0*(q3-q1) OR c>q3+1.5e0*(q3-q1) outside FROM (
-   SELECT p.*, l.* EXCLUDE (id, fuel), {cents('price')} c, s/nearby_count mu, CASE WHEN {cents('price')}>s/nearby_count THEN 1e0 ELSE -1e0 END sgn FROM priced p JOIN local_stats l USING(id, fuel))),
- anomalies AS (SELECT id, name, brand, city, state, region, lat, lng, fuel, price, {mean('s', 'nearby_count')} local_avg, {jr('z', 2)} z_score, CASE WHEN z>0 THEN 'high' ELSE 'low' END direction, nearby_count,
+ WHERE a.fuel IN (SELECT fuel FROM priced GROUP BY fuel HAVING count(*)>=3) GROUP BY 1,2 HAVING count(*)>=2)"""
+VIEWS["judged"] = f"""judged AS (SELECT *, coalesce({_LOCAL_Z}, sgn*1.5e0) z, coalesce(abs({_LOCAL_Z})>=1.5e0,false) by_z, c<q1-1.5e0*(q3-q1) OR c>q3+1.5e0*(q3-q1) outside FROM (
+   SELECT p.*, l.* EXCLUDE (id, fuel), {cents('price')} c, s/nearby_count mu, CASE WHEN {cents('price')}>s/nearby_count THEN 1e0 ELSE -1e0 END sgn FROM priced p JOIN local_stats l USING(id, fuel)))"""
+VIEWS["anomalies"] = f"""anomalies AS (SELECT id, name, brand, city, state, region, lat, lng, fuel, price, {mean('s', 'nearby_count')} local_avg, {jr('z', 2)} z_score, CASE WHEN z>0 THEN 'high' ELSE 'low' END direction, nearby_count,
    CASE WHEN abs(z)>3 THEN 'severe' WHEN abs(z)>2 THEN 'moderate' ELSE 'mild' END severity FROM judged WHERE by_z OR outside)"""
 _DEPENDS = {
     "pw": ["prices"], "merged": ["stations", "pw"], "priced": ["stations", "prices"], "brands": ["raw_staging"],
     "conformed": ["raw_staging", "brands"], "keys": ["conformed"], "blocked": ["keys"], "known_scores": ["blocked"],
     "candidates": ["known_scores"], "name_scores": ["candidates"], "addr_scores": ["candidates"],
     "scored": ["candidates", "name_scores", "addr_scores"], "accepted": ["scored"], "decisions": ["scored", "accepted"],
-    "reports_ok": ["reports", "stations"], "anomalies": ["priced"],
+    "reports_ok": ["reports", "stations"], "local_stats": ["priced"], "judged": ["priced", "local_stats"], "anomalies": ["judged"],
 }
 
 
