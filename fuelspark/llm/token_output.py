@@ -30,6 +30,8 @@ SUB_WORDS = 1024
 BLOCK_IDS = 65_536
 # Cached encodings of white-space separated pieces of text in a worker; the cache starts anew when full.
 CACHE_PIECES = 600_000
+# ASCII marks that may stand behind a word without touching it; an apostrophe may start a word of its own.
+TRAILING = ".,;:!?%&*#$|()[]{}/\\\"@_-+"
 BLOCK_SCHEMA = (
     "part int, block int, before bigint, n_ids bigint, doc_ids array<bigint>, counts array<bigint>, words binary, "
     "offsets array<bigint>, escapes binary"
@@ -43,18 +45,18 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     escaped = ids >= np.uint64(1 << 60)
-    at = np.arange(n, dtype=np.int32)
     best, chosen = np.ones(n, np.uint8), np.full(n, len(SELECTORS) - 1, np.uint8)
+    compared = ids.astype(np.uint32) if ids.max() < 1 << 32 else ids
     for s in range(len(SELECTORS) - 2, -1, -1):
         count, bits = SELECTORS[s]
-        wide = np.flatnonzero(ids >= np.uint64(1 << bits)).astype(np.int32)
-        gaps = np.diff(wide, prepend=np.int32(-1), append=np.int32(n)) - 1
-        if gaps.max() < count and gaps[-1] < SELECTORS[s + 1][0]:
-            continue  # no run of ids this small is long enough
-        # run: ids from here on that fit in these bits
-        run = np.repeat(np.append(wide, np.int32(n)), gaps + np.append(np.ones(len(wide), np.int32), np.int32(0))) - at
-        fits = (run >= count) | (run == n - at) & (run >= SELECTORS[s + 1][0])
-        best[fits], chosen[fits] = count, s
+        fits = np.ones(n + count, bool)  # the last word may have room for more ids than are left
+        np.less(compared, 1 << min(bits, 8 * compared.itemsize - 1), out=fits[:n])
+        width = 1
+        while width < count and fits[:n].any():  # fits[i]: the next `width` ids fit
+            step = min(width, count - width)
+            fits[: n + count - step] &= fits[step:]
+            width += step
+        best[fits[:n]], chosen[fits[:n]] = count, s
     chosen[escaped] = ESCAPE
     steps, starts, i = best.tolist(), [], 0
     while i < n:
@@ -116,13 +118,46 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b if b in printable else next(others)) for b in range(256)}
 
 
+def _word_encoder(path: str):
+    """Encodes many lower-case words of letters at once: a function from words to the little-endian ids of each.
+
+    The merges of the file are applied to bytes, with an end mark behind every word; the merge of a last byte with the mark
+    goes first, as the last character of a word has its own token from the start. Merging any pair that spells a token
+    is the file's own rule as long as every token of the file encodes to itself, which tests check.
+    """
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    suffix, vocabulary = model["end_of_word_suffix"], model["vocab"]
+    alphabet = byte_alphabet()
+    byte_of = {c: b for b, c in alphabet.items()}
+    spell = lambda t: bytes(byte_of[c] for c in t.removesuffix(suffix)) + (b"\x01" if t.endswith(suffix) else b"")
+    order = [alphabet[b] + suffix for b in range(256)] + [alphabet[b] for b in range(256)]
+    order += ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = np.array([vocabulary[t] for t in order], "<u4")
+    last = np.array([t.endswith(suffix) for t in order])
+    coder = tiktoken.Encoding("words", pat_str="[^\x01]+\x01", mergeable_ranks={spell(t): k for k, t in enumerate(order)}, special_tokens={})
+
+    def encode(words: list[str]) -> list[bytes]:
+        ranks = np.array(coder.encode_ordinary("\x01".join(words) + "\x01"))
+        data = ids[ranks].tobytes()
+        ends = (np.flatnonzero(last[ranks]) * 4 + 4).tolist()
+        return [data[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+
+    return encode
+
+
 @lru_cache(maxsize=1)
 def _piece_encoder(path: str):
     """Encodes texts piece by piece: white space is dropped by this kind of tokenizer and no rule looks across it.
 
-    A piece of Latin-1 letters, with or without one full stop or comma behind, needs no rules: it is one word of the
-    model in lower case (and one mark). Any other piece goes through the whole tokenizer.
+    A piece of Latin-1 letters, with or without ASCII marks behind, needs no rules: it is one word of the model in lower
+    case (and one word of marks). Any other piece goes through the whole tokenizer.
     """
+    import gc
     import os
     from array import array
 
@@ -132,25 +167,29 @@ def _piece_encoder(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    word, alphabet = tokenizer.model.tokenize, byte_alphabet()
-    marks = {m: array("I", tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,"}
+    encode_words = _word_encoder(path)
+    marks: dict[str, bytes] = {"": b""}
     known: dict[str, bytes] = {"": b""}
     stems: dict[str, bytes] = {}
 
     def learn(pieces: set[str]) -> None:
-        rest = []
+        rest, taken, new = [], [], set()
         for piece in pieces:
-            mark = piece[-1]
-            stem = piece[:-1] if mark in marks else piece
-            if not stem.isalpha() or max(stem) > "\xff":
+            stem = piece.rstrip(TRAILING)
+            if not stem.isalpha() or not stem.isascii() and max(stem) > "\xff":
                 rest.append(piece)
                 continue
-            stem = stem.lower()
-            ids = stems.get(stem)
-            if ids is None:
-                spelled = stem if stem.isascii() else stem.encode().decode("latin-1").translate(alphabet)
-                ids = stems[stem] = array("I", [t.id for t in word(spelled)]).tobytes()
-            known[piece] = ids + marks[mark] if mark in marks else ids
+            mark, stem = piece[len(stem) :], stem.lower()
+            if mark not in marks:
+                marks[mark] = array("I", tokenizer.encode(mark, add_special_tokens=False).ids).tobytes()
+            taken.append((piece, stem, mark))
+            if stem not in stems:
+                new.add(stem)
+        if new:
+            listed = list(new)
+            stems.update(zip(listed, encode_words(listed), strict=True))
+        for piece, stem, mark in taken:
+            known[piece] = stems[stem] + marks[mark]
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             for piece, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -162,8 +201,13 @@ def _piece_encoder(path: str):
         if len(known) > CACHE_PIECES:
             known.clear()
             stems.clear()
-            known[""] = b""
-        learn(set().union(*split).difference(known))
+            marks.clear()
+            known[""] = marks[""] = b""
+        gc.disable()  # millions of new objects without any cycle: nothing to search for
+        try:
+            learn(set().union(*split).difference(known))
+        finally:
+            gc.enable()
         get = known.__getitem__
         return [b"".join(map(get, pieces)) + end for pieces in split]
 
@@ -228,7 +272,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, **options) ->
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Per document of written files: doc_id, start (ids of all documents before it), n_tokens and the ids' crc32."""
     blocks = spark.read.parquet(path)
-    # One row per written part, as many as the write had tasks: the only thing put on one task here.
+    # One row per written part, as many as the write had tasks: bounded, so it may sit in one task and be broadcast.
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("_n"))
     w = W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)
     parts = parts.select("part", (F.sum("_n").over(w) - F.col("_n")).alias("_base"))
@@ -245,6 +289,6 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return (
-        blocks.join(parts, "part").select("_base", "before", "n_ids", "doc_ids", "counts", "words", "escapes")
+        blocks.join(F.broadcast(parts), "part").select("_base", "before", "n_ids", "doc_ids", "counts", "words", "escapes")
         .mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     )

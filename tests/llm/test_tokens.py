@@ -82,12 +82,21 @@ def test_simple8b_range_over_sub_blocks():
     assert (token_output.unpack_range(words, offsets, len(ids), escapes, 4_000, 8_500) == ids[4_000:8_500]).all()
 
 
-@pytest.mark.parametrize("text", ["a.b,c Ünï.", "it's don't, we'LL.", ",, a.. .", "x̸ ≠ á. é,", "ΑΣ ΟΔΟΣ. Σ,", "日本語、テスト。 12.5", "tab\there \r\n\x0b\x1cx\x85y z", "<|endoftext|> x", "ſ ﬁ İi ẞ ªº"])
+@pytest.mark.parametrize("text", ["a.b,c Ünï.", "it's don't, we'LL.", ",, a.. .", "x̸ ≠ á. é,", "ΑΣ ΟΔΟΣ. Σ,", "日本語、テスト。 12.5", "tab\there \r\n\x0b\x1cx\x85y z", "<|endoftext|> x", "ſ ﬁ İi ẞ ªº", "Word%%% x&&&, (a) b) c]] d' e'. f\"'s it's. a.'s ñ!!! µ**"])
 def test_pieces_encode_as_the_whole(text):
     got = np.frombuffer(token_output._piece_encoder(WORDS)([text], 1)[0], "<u4").tolist()
     assert got == [*WORD_PLAIN.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_every_token_encodes_to_itself():
+    """Then merging whatever pair spells a token is the same as following the file's pairs."""
+    for tokenizer, suffix in ((WORD_PLAIN, "</w>"), (PLAIN, "")):
+        special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        tokens = {t: i for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix) and t not in special}
+        assert len(tokens) > 20_000
+        assert not [t for t, i in tokens.items() if [x.id for x in tokenizer.model.tokenize(t.removesuffix(suffix))] != [i]]
+
+
 def expected_files(rows):
     start, out = 0, []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
