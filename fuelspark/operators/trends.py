@@ -201,12 +201,15 @@ def week_arrow(snapshots: DataFrame) -> DataFrame:
     return points.withColumn("arrow", F.when(F.col("points") >= 2, _arrow(delta)))
 
 
-def missed_days(snapshots: DataFrame, keys: list[str], as_of: str, cap: int = 30) -> DataFrame:
-    """Consecutive days without a snapshot, counted back from the day before ``as_of``."""
+def missed_days(snapshots: DataFrame, keys: list[str], as_of: str, cap: int | None = None) -> DataFrame:
+    """Consecutive days without a snapshot, counted back from the day before ``as_of``: of the whole table without keys,
+    else per key. Without any earlier snapshot it is the cap, if there is one."""
     yesterday = F.date_sub(F.to_date(F.lit(as_of)), 1)
     newest = F.max(F.when(F.col("date") <= yesterday, F.col("date")))
-    gap = F.coalesce(F.datediff(yesterday, newest), F.lit(cap))
-    return snapshots.groupBy(*keys).agg(F.least(F.lit(cap), gap).alias("missed_days"))
+    gap = F.datediff(yesterday, newest)
+    if cap is not None:
+        gap = F.least(F.lit(cap), F.coalesce(gap, F.lit(cap)))
+    return snapshots.groupBy(*keys).agg(gap.alias("missed_days"))
 
 
 def freshness(last_update: Column, as_of: str) -> Column:

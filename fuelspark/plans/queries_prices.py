@@ -242,8 +242,10 @@ query("ts_14_cheapest_decile", """
 query("ts_15_price_band", """
  SELECT id, fuel, price, CASE WHEN hi=lo THEN 'flat' WHEN (price-lo)/(hi-lo)<=0.33e0 THEN 'low' WHEN (price-lo)/(hi-lo)<=0.66e0 THEN 'middle' ELSE 'high' END band
  FROM prices JOIN (SELECT fuel, min(price) lo, max(price) hi FROM prices GROUP BY 1) USING(fuel)""")(lambda s, d: prices.price_band(long_prices(s, d)))
-query("ts_16_missed_days", """
- SELECT id, fuel, least(30, coalesce(datediff('day', max("date") FILTER ("date"<=DATE '2024-01-30'), DATE '2024-01-30'), 30))::INT missed_days FROM snapshots GROUP BY 1,2""")(
+query("ts_16_missed_days", """SELECT datediff('day', max("date") FILTER ("date"<=DATE '2024-02-09'), DATE '2024-02-09')::INT missed_days FROM snapshots""")(
+    lambda s, d: trends.missed_days(snapshots(s, d), [], "2024-02-10"))
+query("ts_16_missed_days_by_station", """
+ SELECT id, fuel, datediff('day', max("date") FILTER ("date"<=DATE '2024-01-30'), DATE '2024-01-30')::INT missed_days FROM snapshots GROUP BY 1,2""")(
     lambda s, d: trends.missed_days(snapshots(s, d), ["id", "fuel"], AS_OF))
 query("ts_17_freshness", f"""
  SELECT master_id, CASE WHEN ds<1 THEN 'today' WHEN ds<7 THEN 'recent' WHEN ds<80 THEN 'ok' ELSE 'stale' END freshness,

@@ -8,25 +8,21 @@ from fuelspark.operators.prices import sane_price
 
 PLACE_SCHEMA = "_place_id string, name string, cre_id string, location struct<x:string,y:string>"
 PRICE_SCHEMA = "_place_id string, gas_price array<struct<_VALUE:string,_type:string>>"
-OSM_SCHEMA = (
-    "elements array<struct<type:string,id:string,lat:double,lon:double,"
-    "center:struct<lat:double,lon:double>,tags:map<string,string>>>"
-)
+OSM_SCHEMA = "type string, id string, lat double, lon double, center struct<lat:double,lon:double>, tags map<string,string>"
 LOCATOR_SCHEMA = "external_id string, name string, lat double, lng double, props map<string,string>"
 PLACES_SCHEMA = (
     "place_id string, name string, lat double, lng double, "
     "address_components array<struct<long_name:string,types:array<string>>>"
 )
 _PRICE = "struct<regular:double,premium:double,diesel:double,gasolina_regular:double,gasolina_premium:double,updatedAt:string,updated_at:string>"
-APP_STATION = (
-    "struct<id:string,master_id:string,name:string,canonical_name:string,brand:string,canonical_brand:string,"
-    "address:string,canonical_address:string,city:string,canonical_municipality:string,state:string,"
-    "canonical_state:string,zipCode:string,canonical_zip:string,lat:double,lng:double,hasData:boolean,"
-    f"prices:{_PRICE}>"
+APP_SCHEMA = (
+    "id string, master_id string, name string, canonical_name string, brand string, canonical_brand string, "
+    "address string, canonical_address string, city string, canonical_municipality string, state string, "
+    "canonical_state string, zipCode string, canonical_zip string, lat double, lng double, hasData boolean, "
+    f"prices {_PRICE}"
 )
-APP_SCHEMA = f"exported_at string, total long, stations array<{APP_STATION}>, data array<{APP_STATION}>"
 
-# Field names per canonical field, in order of preference
+# Published field names per canonical field, in order of preference (fixed values)
 PLACE_ALIASES = {
     "place_id": ["place_id", "placeid", "id_place", "id"],
     "cre_id": ["cre_id", "creid", "id_estacion", "estacion_id"],
@@ -75,7 +71,7 @@ REGISTER_ALIASES = {
     "fecha_alta": ["fecha_alta"],
     "codigo_act": ["codigo_act", "scian", "codigo_scian"],
 }
-# Locator property and the service it stands for
+# Locator property and the service it stands for (fixed values)
 SERVICE_FLAGS = {
     "gasolina_regular": "regular", "gasolina_premium": "premium", "diesel": "diesel",
     "lavado": "car_wash", "tienda": "convenience_store", "abarrotes": "convenience_store",
@@ -139,9 +135,9 @@ def normalize_prices(df: DataFrame) -> DataFrame:
 
 
 def read_open_map(spark: SparkSession, path: str) -> DataFrame:
-    """Open-map export: fuel elements with tag fallbacks; ways take their centre."""
-    raw = spark.read.schema(OSM_SCHEMA).option("multiLine", True).json(path)
-    e = raw.select(F.explode("elements").alias("e")).select("e.*").filter(F.col("tags")["amenity"] == "fuel")
+    """Open-map export, landed one element per line so that files split: fuel elements with tag fallbacks; ways
+    take their centre."""
+    e = spark.read.schema(OSM_SCHEMA).json(path).filter(F.col("tags")["amenity"] == "fuel")
     tag = lambda *names: F.coalesce(*[F.nullif(F.col("tags")[n], F.lit("")) for n in names])
     street = tag("addr:street", "addr:housenumber")
     number = tag("addr:housenumber")
@@ -200,9 +196,9 @@ def place_address(df: DataFrame) -> DataFrame:
 
 
 def read_app_json(spark: SparkSession, path: str) -> DataFrame:
-    """Exported stations under current or older field names; rows without id or position are dropped."""
-    raw = spark.read.schema(APP_SCHEMA).option("multiLine", True).json(path)
-    s = raw.select(F.explode(F.coalesce("stations", "data")).alias("s")).select("s.*")
+    """Exported stations, one per line, under current or older field names; rows without id or position are
+    dropped."""
+    s = spark.read.schema(APP_SCHEMA).json(path)
     regular = F.coalesce("prices.regular", "prices.gasolina_regular")
     premium = F.coalesce("prices.premium", "prices.gasolina_premium")
     diesel = F.col("prices.diesel")

@@ -4,6 +4,9 @@ Only whole partitions are ever rewritten, readers select by partition columns, a
 to the driver. Catalogue questions read partition values, not data.
 """
 
+from datetime import date as date_type
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +25,20 @@ def _zone(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", False).parquet(path)
 
 
+def partitions(spark: SparkSession, path: str, *columns: str) -> list[tuple[str, ...]]:
+    """Partition values of a table, read from the names of its folders through its file system; no file is opened."""
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path("/".join([path, *[f"{c}=*" for c in columns]]))
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    decode = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    parts = [status.getPath().toString().split("/")[-len(columns):] for status in found]
+    return sorted(tuple(decode(x.split("=", 1)[1]) for x in part) for part in parts)
+
+
 def list_batches(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Batches of a source, newest first; only partition values are needed."""
-    rows = _zone(spark, path).filter(F.col("source") == source).select(F.col("date").cast("string").alias("date"), "batch_id")
-    return rows.distinct().orderBy(F.col("date").desc(), F.col("batch_id").desc())
+    """Batches of a source, newest first."""
+    rows = [(d, b) for s, d, b in partitions(spark, path, "source", "date", "batch_id") if s == source]
+    return spark.createDataFrame(rows[::-1], "date string, batch_id string")
 
 
 def read_batch(spark: SparkSession, path: str, source: str, batch_id: str) -> DataFrame:
@@ -34,13 +47,12 @@ def read_batch(spark: SparkSession, path: str, source: str, batch_id: str) -> Da
 
 def read_latest(spark: SparkSession, path: str, source: str, date: str | None = None) -> DataFrame:
     """Newest batch of a source, of one date or of any; the other partitions are not opened."""
+    batches = [(d, b) for s, d, b in partitions(spark, path, "source", "date", "batch_id") if s == source and date in (None, d)]
     rows = _zone(spark, path).filter(F.col("source") == source)
-    if date:
-        rows = rows.filter(F.col("date") == date)
-    newest = rows.agg(F.max(F.struct(F.col("date").cast("string").alias("d"), F.col("batch_id").alias("b"))).alias("m")).first()["m"]
-    if newest is None:
+    if not batches:
         return rows.limit(0)
-    return rows.filter((F.col("date") == newest["d"]) & (F.col("batch_id") == newest["b"]))
+    newest = max(batches)
+    return rows.filter((F.col("date").cast("string") == newest[0]) & (F.col("batch_id").cast("string") == newest[1]))
 
 
 def split_rejects(df: DataFrame, valid) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +79,8 @@ def read_snapshots(spark: SparkSession, path: str, date: str | None = None) -> D
 
 
 def list_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    return read_snapshots(spark, path).select("date").distinct().orderBy(F.col("date").desc())
+    """Dates with a snapshot, newest first."""
+    return spark.createDataFrame(partitions(spark, path, "date")[::-1], "date string").select(F.to_date("date").alias("date"))
 
 
 def _drop_partitions(spark: SparkSession, path: str, dates: list[str]) -> int:
@@ -85,36 +98,36 @@ def delete_snapshot(spark: SparkSession, path: str, date: str) -> int:
 
 
 def retain_snapshots(spark: SparkSession, path: str, as_of: str, keep_days: int = 90) -> int:
-    """Drop partitions older than the number of days; the list of dates is one short row per day."""
-    old = read_snapshots(spark, path).select("date").distinct().filter(
-        F.col("date") < F.date_sub(F.to_date(F.lit(as_of)), keep_days))
-    return _drop_partitions(spark, path, [str(r["date"]) for r in old.collect()])
+    """Drop partitions older than the number of days; dates are compared as they are written."""
+    oldest = str(date_type.fromisoformat(as_of) - timedelta(days=keep_days))
+    return _drop_partitions(spark, path, [d for (d,) in partitions(spark, path, "date") if d < oldest])
 
 
-def snapshot_statistics(snapshots: DataFrame) -> DataFrame:
-    return snapshots.agg(
-        F.countDistinct("date").alias("snapshot_count"), F.min("date").cast("string").alias("oldest"),
-        F.max("date").cast("string").alias("newest"))
+def snapshot_statistics(spark: SparkSession, path: str) -> DataFrame:
+    dates = [d for (d,) in partitions(spark, path, "date")]
+    return spark.createDataFrame([(len(dates), min(dates, default=None), max(dates, default=None))], "snapshot_count bigint, oldest string, newest string")
 
 
 SNAPSHOT_FILE = "date string, stationCount long, stations array<struct<id:string,master_id:string,prices:struct<regular:double,premium:double,diesel:double>>>"
 
 
 def import_snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Snapshot files as (accepted station rows, rejected files with the reason)."""
-    raw = spark.read.schema(SNAPSHOT_FILE).option("multiLine", True).json(path)
-    first = F.get("stations", F.lit(0))
+    """Snapshots, one per line, as (accepted station rows, rejects with the reason).
+
+    A snapshot without date or stations is rejected whole; a station without id is rejected by itself.
+    """
+    raw = spark.read.schema(SNAPSHOT_FILE).json(path)
     reason = (
         F.when(F.col("date").isNull(), "date missing")
         .when(~F.regexp_like("date", F.lit(DATE_PATTERN)), "date format")
         .when(F.col("stations").isNull(), "stations missing").when(F.size("stations") == 0, "stations empty")
-        .when(F.coalesce(first["id"], first["master_id"]).isNull(), "station id missing")
     )
-    checked = raw.withColumn("reject_reason", reason)
-    good, bad = split_rejects(checked, F.col("reject_reason").isNull())
-    rows = good.select("date", F.explode("stations").alias("s")).select(
-        F.to_date("date").alias("date"), F.coalesce("s.id", "s.master_id").alias("id"), "s.prices.*")
-    return rows, bad.select("date", "reject_reason", F.size("stations").alias("stations"))
+    whole = raw.withColumn("reject_reason", reason)
+    rows = whole.select("date", "reject_reason", F.explode_outer("stations").alias("s"))
+    rows = rows.withColumn("id", F.coalesce("s.id", "s.master_id"))
+    good, bad = split_rejects(rows, F.col("reject_reason").isNull() & F.col("id").isNotNull())
+    accepted = good.select(F.to_date("date").alias("date"), "id", "s.prices.*")
+    return accepted, bad.select("date", F.coalesce("reject_reason", F.lit("station id missing")).alias("reject_reason"))
 
 
 def rewrite_in_place(df: DataFrame, path: str) -> None:

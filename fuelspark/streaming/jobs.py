@@ -7,11 +7,12 @@ The source publishes no late-data policy; these jobs accept rows up to two days
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fuelspark.functions.geo import haversine_km
-from fuelspark.operators.trends import price_history
-from fuelspark.sources.zones import read_snapshots, write_snapshots
+from fuelspark.operators.scale import materialize
+from fuelspark.sources.zones import delete_snapshot, partitions, read_snapshots, write_snapshots
 
 LATENESS = "2 days"
 
@@ -41,57 +42,117 @@ def run_append(stream: DataFrame, work: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(target)
 
 
-def run_updates(stream: DataFrame, work: str, keys: list[str]) -> DataFrame:
-    """Keep the latest row per key of an aggregation in update mode.
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def write_version(spark: SparkSession, root: str, batch: int, build: Callable[[DataFrame | None], DataFrame]) -> None:
+    """Write version ``batch`` of a small keyed table from the one before, and drop those no replay can ask for.
 
-    A batch overwrites its own partition, so a repeated batch changes nothing; readers take the newest
-    version of a key.
+    A repeated batch starts from the same earlier version, so it changes nothing.
     """
-    target = f"{work}/table"
+    before = [int(v) for (v,) in partitions(spark, root, "version") if int(v) < batch]
+    previous = spark.read.parquet(f"{root}/version={max(before)}") if before else None
+    build(previous).write.mode("overwrite").parquet(f"{root}/version={batch}")
+    for old in sorted(before)[:-1]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version={old}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def newest_version(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/version={max(int(v) for (v,) in partitions(spark, root, 'version'))}")
+
+
+def run_updates(stream: DataFrame, work: str, keys: list[str]) -> DataFrame:
+    """Keep the latest row per key of an aggregation in update mode: one row per key, however many batches ran."""
+    spark, root = stream.sparkSession, f"{work}/table"
 
     def save(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+        write_version(spark, root, batch, lambda old: rows if old is None else rows.unionByName(old.join(rows.select(*keys), keys, "left_anti")))
 
     run_batches(stream, work, save, mode="update")
-    saved = stream.sparkSession.read.parquet(target)
-    values = [c for c in saved.columns if c not in (*keys, "batch")]
-    newest = saved.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
-    return newest.select(*keys, "_v.*")
+    return newest_version(spark, root)
 
 
 # --- snapshots --------------------------------------------------------------------------------------
 
 
 def ingest_snapshots(prices: DataFrame, work: str, force: bool = False) -> DataFrame:
-    """At most one snapshot per date: rows of a date that is already stored are skipped unless forced.
+    """At most one snapshot per date: the batch that first brings a date stores all its rows, whatever number of files
+    they come in. Rows of a date that an earlier batch stored go to the table ``late``, unless ``force`` replaces the date.
 
-    ``prices`` is a stream of (id, date, regular, premium, diesel); a date arrives in one file.
+    ``prices`` is a stream of (id, date, regular, premium, diesel).
     """
-    spark, target = prices.sparkSession, f"{work}/snapshots"
+    spark, target, late = prices.sparkSession, f"{work}/snapshots", f"{work}/late"
 
     def save(rows: DataFrame, batch: int) -> None:
-        if not force:
-            try:
-                stored = read_snapshots(spark, target).select("date").distinct()
-                rows = rows.join(F.broadcast(stored), "date", "left_anti")  # one row per stored day
-            except Exception as error:  # noqa: BLE001 - nothing is stored yet
-                if "PATH_NOT_FOUND" not in str(error):
-                    raise
-        write_snapshots(rows, target)
+        if force:
+            write_snapshots(rows.withColumn("batch", F.lit(batch)), target)
+            return
+        if exists(spark, target):
+            # a date counts as stored if another batch did it: a repeated batch writes its own dates again
+            stored = read_snapshots(spark, target).filter(F.col("batch") != batch).select("date").distinct()
+            known = rows.join(stored, "date", "left_semi")
+            known.select(rows.columns).write.mode("overwrite").parquet(f"{late}/batch={batch}")
+            rows = rows.join(stored, "date", "left_anti")
+        write_snapshots(rows.withColumn("batch", F.lit(batch)), target)
 
     run_batches(prices, work, save)
-    return read_snapshots(spark, target)
+    return read_snapshots(spark, target).drop("batch")
 
 
 def rolling_history(events: DataFrame, work: str, days: int = 7) -> DataFrame:
     """Last price per station, fuel and day, for the newest days; a later report of a day replaces it.
 
-    ``events`` is a stream of (ts, id, fuel, price).
+    ``events`` is a stream of (ts, id, fuel, price). A batch renews the partitions of its days and drops those that are
+    no longer among the newest, so the table never holds more than these days.
+    """
+    spark, target = events.sparkSession, f"{work}/history"
+    last = F.max(F.struct("ts", "price"))
+
+    def save(rows: DataFrame, batch: int) -> None:
+        found = rows.select(F.to_date("ts").alias("date"), "id", "fuel", "ts", "price").filter("price is not null")
+        if exists(spark, target):
+            own = found.select("date").distinct()
+            found = found.unionByName(read_snapshots(spark, target).join(own, "date", "left_semi").select(found.columns))
+        daily = found.groupBy("date", "id", "fuel").agg(last.alias("v")).select("date", "id", "fuel", "v.*")
+        write_snapshots(materialize(daily, "history"), target)  # it reads what it replaces: written aside first
+        dates = sorted(d for (d,) in partitions(spark, target, "date"))
+        for date in dates[:-days]:
+            delete_snapshot(spark, target, date)
+
+    run_batches(events, work, save)
+    return read_snapshots(spark, target).select("date", "id", "fuel", "price")
+
+
+def price_change_events(snapshots: DataFrame, work: str) -> DataFrame:
+    """Changes of the price of a station and fuel against its snapshot before, as a table of events.
+
+    ``snapshots`` is a stream of (id, fuel, date, price), one row per snapshot. The newest snapshot of each key is a small
+    versioned table; rows that are not newer than it come late and make no event.
     """
-    daily = events.withWatermark("ts", LATENESS).groupBy(F.window("ts", "1 day").alias("w"), "id", "fuel").agg(
-        F.max_by("price", F.struct("ts", "price")).alias("price"))
-    daily = daily.select(F.col("w.start").cast("date").alias("date"), "id", "fuel", "price")
-    return price_history(run_updates(daily, work, ["date", "id", "fuel"]), days)
+    spark, events, state = snapshots.sparkSession, f"{work}/events", f"{work}/last"
+    keys = ["id", "fuel"]
+
+    def save(rows: DataFrame, batch: int) -> None:
+        def build(last: DataFrame | None) -> DataFrame:
+            fresh = rows.select(*keys, "date", "price").filter("price is not null").groupBy(*keys, "date").agg(F.max("price").alias("price"))
+            if last is not None:
+                newest = last.select(*keys, F.col("date").alias("_last"))
+                fresh = fresh.join(newest, keys, "left").filter("_last is null or date > _last").drop("_last")
+                fresh = fresh.unionByName(last.join(fresh.select(*keys).distinct(), keys, "left_semi"))
+            previous = F.lag("price").over(W.partitionBy(*keys).orderBy("date"))
+            moves = fresh.withColumn("previous", previous).filter("previous is not null and previous <> price")
+            moves = moves.withColumn("direction", F.when(F.col("price") > F.col("previous"), "up").otherwise("down"))
+            moves.select(*keys, "date", "previous", "price", "direction").write.mode("overwrite").parquet(f"{events}/batch={batch}")
+            now = fresh if last is None else fresh.unionByName(last)
+            return now.groupBy(*keys).agg(F.max(F.struct("date", "price")).alias("v")).select(*keys, "v.*")
+
+        write_version(spark, state, batch, build)
+
+    run_batches(snapshots, work, save)
+    return spark.read.parquet(events).drop("batch")
 
 
 # --- community reports ------------------------------------------------------------------------------
@@ -110,9 +171,10 @@ def accept_reports(reports: DataFrame, stations: DataFrame, price_low: float = 5
     return seen_once.join(places, "id").filter(near).drop("s_lat", "s_lng")
 
 
-def newest_reports(accepted: DataFrame, n: int = 200) -> DataFrame:
-    """The newest reports, the list the application shows."""
-    return accepted.orderBy(F.col("ts").desc(), F.col("report_id").desc()).limit(n)
+def newest_reports(accepted: DataFrame, n: int | None = None) -> DataFrame:
+    """Reports, newest first; the application shows the first 200."""
+    ordered = accepted.orderBy(F.col("ts").desc(), F.col("report_id").desc())
+    return ordered.limit(n) if n else ordered
 
 
 def latest_per_station(accepted: DataFrame) -> DataFrame:
