@@ -179,6 +179,151 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+# --- near copies by similarity ----------------------------------------------------------------------
+#
+# Texts whose sets of five-word shingles have a similarity of 0.8 differ in about 15 % of the bits, which is far more than
+# two of 64. For them the fingerprint has 256 bits, and the index is keyed by triples of its 32 byte positions: a pair
+# that shares the three bytes of any listed triple is a candidate, and is verified by all its bits. A pair of similarity
+# 0.9 shares one of the triples with a chance of 99.99 %, one of 0.85 with 99 %, one of 0.8 with 91 %; of a group, it is
+# enough that links connect it.
+
+NEAR_SHINGLE = 5
+NEAR_WORDS = 4
+NEAR_BITS = 48
+_TRIPLES = sorted({tuple(sorted(((7 * k) % 32, (7 * k + 1 + k // 32 + k % 5) % 32, (7 * k + 13 + 3 * (k // 32)) % 32))) for k in range(128)})
+NEAR_COLUMNS = [f"w{k}" for k in range(NEAR_WORDS)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None) -> np.ndarray:
+    """256 bits over the distinct five-word shingles; zero for a text without words."""
+    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+    if not words:
+        return np.zeros(NEAR_WORDS, np.uint64)
+    joined = b" ".join(words)
+    ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
+    starts = [0, *[e + 1 for e in ends]]
+    digest = xxhash.xxh64_intdigest
+    if len(words) < NEAR_SHINGLE:
+        hashes = np.array([digest(joined, SEED)], "<u8")
+    else:
+        hashes = np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[NEAR_SHINGLE - 1 :], strict=False)], "<u8"))
+    total = np.zeros(64 * NEAR_WORDS, np.int64)
+    for at in range(0, len(hashes), 16_384):
+        part = hashes[at : at + 16_384]
+        wide = np.stack([_mixed(part + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for k in range(NEAR_WORDS)], axis=1)
+        total += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def _nodes(wide: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(wide), np.uint64)
+    for k in range(NEAR_WORDS):
+        out = _mixed(out * np.uint64(3) + wide[:, k])
+    return out
+
+
+def triple_keys(wide: np.ndarray) -> np.ndarray:
+    octets = np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), -1).astype(np.uint64)
+    keys = np.empty((len(wide), len(_TRIPLES)), np.uint64)
+    for c, (x, y, z) in enumerate(_TRIPLES):
+        keys[:, c] = np.uint64(c << 24) | octets[:, x] << np.uint64(16) | octets[:, y] << np.uint64(8) | octets[:, z]
+    return keys
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32)
+
+
+def near_list_links(keys: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked pairs within the lists of sorted keys. A list longer than ``PAIRWISE`` is taken apart around
+    leaders: whatever is near the first one left links to it and needs no further comparison there."""
+    change = np.flatnonzero(np.diff(keys)) + 1
+    begins, ends = np.append(0, change), np.append(change, len(keys))
+    sizes = ends - begins
+    size_of = np.repeat(sizes, sizes)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, min(PAIRWISE, int(sizes.max(initial=1)))):
+        i = np.flatnonzero((keys[:-d] == keys[d:]) & (size_of[:-d] <= PAIRWISE))
+        near = i[_apart(wide[i], wide[i + d]) <= NEAR_BITS]
+        a.append(near)
+        b.append(near + d)
+    for s, e in zip(begins[sizes > PAIRWISE], ends[sizes > PAIRWISE], strict=True):
+        left = np.arange(s, e)
+        while len(left) > 1:
+            leader, left = left[0], left[1:]
+            near = _apart(wide[left], wide[leader]) <= NEAR_BITS
+            b.append(left[near])
+            a.append(np.full(int(near.sum()), leader))
+            left = left[~near]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def near_links(distinct: DataFrame) -> DataFrame:
+    """Links between the nodes of distinct wide fingerprints."""
+    def postings(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5_000):
+                part = batch.slice(at, 5_000)
+                wide = np.stack([part.column(k).to_numpy().view(np.uint64) for k in range(NEAR_WORDS)], axis=1)
+                keys = triple_keys(wide)
+                repeated = np.repeat(wide, keys.shape[1], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *[pa.array(np.ascontiguousarray(repeated[:, k]).view(np.int64)) for k in range(NEAR_WORDS)]], names=["key", *NEAR_COLUMNS])
+
+    def meet(batches):
+        keys, wide = np.zeros(0, np.uint64), np.zeros((0, NEAR_WORDS), np.uint64)
+        for batch in (*batches, None):
+            if batch is not None:
+                keys = np.concatenate([keys, batch.column(0).to_numpy().view(np.uint64)])
+                wide = np.concatenate([wide, np.stack([batch.column(k + 1).to_numpy().view(np.uint64) for k in range(NEAR_WORDS)], axis=1)])
+            if len(keys) and (batch is None or len(keys) > 100_000):
+                whole = len(keys) if batch is None else int(np.searchsorted(keys, keys[-1]))  # the last list may go on
+                a, b = near_list_links(keys[:whole], wide[:whole]) if whole else (np.zeros(0, np.int64),) * 2
+                nodes = _nodes(wide[np.concatenate([a, b])]).view(np.int64).reshape(2, -1)
+                pairs = np.unique(np.sort(nodes, axis=0), axis=1)
+                keys, wide = keys[whole:], wide[whole:]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    columns = ", ".join(f"{c} bigint" for c in NEAR_COLUMNS)
+    index = distinct.select(*NEAR_COLUMNS).mapInArrow(postings, f"key bigint, {columns}")
+    return index.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, all columns, of each group of near copies: the one with the smallest id (rows without id last), then the
+    smallest text key; of rows with the same id and text one stays."""
+    text = F.col(quoted(text_col))
+    rows = docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+
+    def start():
+        def work(texts):
+            wide = np.array([wide_fingerprint(t) for t in texts.to_pylist()], np.uint64).reshape(-1, NEAR_WORDS)
+            return [_nodes(wide).view(np.int64), *[np.ascontiguousarray(wide[:, k]).view(np.int64) for k in range(NEAR_WORDS)]]
+
+        return work
+
+    prints = materialize(map_rows(rows, ["doc_id", "key"], ["text"], [(c, "bigint") for c in ("node", *NEAR_COLUMNS)], start), "wide")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
+    distinct = prints.groupBy("node", *NEAR_COLUMNS).agg(least)
+    roots = components(near_links(distinct), "near")
+    rooted = distinct.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("least").alias("f")).select(F.col("f.doc_id").alias("_first_id"), F.col("f.key").alias("_first_key")).distinct()
+    return _only(docs, first, id_col, text_col)
+
+
+def _only(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows named by id and text key, each once."""
+    keyed = docs.withColumn("_row_key", F.xxhash64(F.col(quoted(text_col))))
+    id_ = F.col(quoted(id_col)).cast("bigint")
+    kept = keyed.join(first, id_.eqNullSafe(F.col("_first_id")) & (F.col("_row_key") == F.col("_first_key")))
+    return kept.dropDuplicates([id_col, "_row_key"]).select(*[quoted(c) for c in docs.columns])
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Prints (doc_id, key of the text, fp) of every row, and for every fp its component_id and its component's
     representative: the row with the smallest id, then the smallest key; rows without id come last."""
@@ -204,7 +349,4 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same id and text one stays."""
     _, of = _classes(docs, id_col, text_col)
     first = of.select(F.col("component_id").alias("_first_id"), F.col("first_key").alias("_first_key")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(quoted(text_col))))
-    id_ = F.col(quoted(id_col)).cast("bigint")
-    kept = keyed.join(first, id_.eqNullSafe(F.col("_first_id")) & (F.col("_key") == F.col("_first_key")))
-    return kept.dropDuplicates([id_col, "_key"]).select(*[quoted(c) for c in docs.columns])
+    return _only(docs, first, id_col, text_col)

@@ -148,6 +148,72 @@ def test_components_of_a_long_chain(spark):
     assert root == {**{i: 0 for i in range(201)}, 1000: 1000, 1001: 1000}
 
 
+def shingles(text):
+    w = [x for x in re.split("[\x20\x09-\x0D]+", lower(text)) if x]
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+
+def expected_near(texts):
+    """Smallest ids of the groups that links between wide fingerprints make, by all pairs."""
+    wide = np.array([simhash.wide_fingerprint(t) for _, t in texts], np.uint64)
+    keys, root = simhash.triple_keys(wide), list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        near = (np.bitwise_count(wide ^ wide[i]).sum(axis=1) <= simhash.NEAR_BITS) & (keys == keys[i]).any(axis=1)
+        for j in np.flatnonzero(near):
+            a, b = top(i), top(int(j))
+            root[max(a, b)] = min(a, b)
+    groups = {}
+    for k, (i, _) in enumerate(texts):
+        groups.setdefault(top(k), []).append(i)
+    return {min(g) for g in groups.values()}
+
+
+def test_near_copies_are_found_and_others_left(spark):
+    random.seed(4)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    rows, group = [], {}
+    for g in range(60):
+        base = random.choices(vocabulary, k=random.choice([40, 200, 800]))
+        for c in range(random.choice([1, 2, 6])):
+            copy = list(base)
+            for _ in range(c and max(1, len(base) // random.choice([60, 100]))):
+                copy[random.randrange(len(copy))] = random.choice(vocabulary)
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(copy)))
+    kept = {r.doc_id for r in simhash.near_representatives(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    first = {}
+    for i, t in rows:
+        first.setdefault(group[i], shingles(t))
+    alike = [i for i, t in rows if i not in {min(k for k in group if group[k] == group[i])} and len(first[group[i]] & shingles(t)) / len(first[group[i]] | shingles(t)) >= 0.8]
+    assert len(alike) > 40 and len([i for i in alike if i in kept]) <= 0.05 * len(alike)
+    assert {min(k for k in group if group[k] == g) for g in range(60)} <= kept
+
+
+def test_near_copies_awkward(awkward, nothing, nulls):
+    kept = simhash.near_representatives(awkward)
+    assert kept.columns == awkward.columns
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 6, 8, 9, 10, 11, 12]
+    assert simhash.near_representatives(nothing).count() == 0 and simhash.near_representatives(nulls).count() == 1
+
+
+@pytest.mark.parametrize("pairwise", [2, 40])
+def test_large_group_of_near_copies(spark, monkeypatch, pairwise):
+    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+    wide = np.random.default_rng(0).integers(0, 1 << 64, (1, 4), dtype=np.uint64).repeat(300, axis=0)
+    wide[:, 0] ^= np.uint64(1) << np.arange(300, dtype=np.uint64) % np.uint64(64)
+    keys = simhash.triple_keys(wide).ravel()
+    order = np.argsort(keys, kind="stable")
+    a, b = simhash.near_list_links(keys[order], wide.repeat(len(simhash._TRIPLES), axis=0)[order])
+    owner = np.repeat(np.arange(300), len(simhash._TRIPLES))[order]
+    assert len(simhash._forest(owner[a], owner[b])) == 299
+
+
 def test_line_dedup_awkward(spark, awkward, nothing, nulls):
     page = lambda i, *lines, host="h": (i, "\n".join(lines), "en", host, 1, 0.5, 1, True, 1, 1, 1, 1, 1, 1, "x", 1)
     rows = [page(i, "  Menu ", f"text {i}", "", "menu2" if i < 3 else f"only {i}") for i in range(20)]
