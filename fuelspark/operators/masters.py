@@ -1,6 +1,9 @@
 """Master stations: build, confidence, upsert, change detection, drift and audit."""
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fuelspark.functions import text
@@ -162,6 +165,24 @@ def name_drift(current: DataFrame, previous: DataFrame, least: float = 0.40) ->
     )
 
 
+def audited(spark: SparkSession, batch_id: str, as_of: str, work: Callable[[], DataFrame], path: str) -> DataFrame:
+    """Run ``work``, append its audit rows with the seconds it took to the table at ``path``, and return that table. A run
+    that fails leaves one row with its error, and the error goes on to the caller."""
+    began = time.monotonic()
+    seconds = lambda: F.lit(round(time.monotonic() - began, 3))
+    try:
+        rows = work().withColumn("error", F.lit(None).cast("string"))
+        rows.persist().count()
+        rows.withColumn("duration_seconds", seconds()).write.mode("append").parquet(path)
+        rows.unpersist()
+    except Exception as error:
+        schema = "source string, records_fetched bigint, records_new bigint, records_updated bigint, records_unchanged bigint, records_failed bigint, batch_id string, run_at string, status string, error string"
+        row = spark.createDataFrame([(None, 0, 0, 0, 0, 0, batch_id, as_of, "failed", str(error))], schema)
+        row.withColumn("duration_seconds", seconds()).write.mode("append").parquet(path)
+        raise
+    return spark.read.parquet(path)
+
+
 def audit_rows(current: DataFrame, previous: DataFrame, batch_id: str, as_of: str, failed: DataFrame | None = None) -> DataFrame:
     """One row per source: fetched, new, updated, unchanged and failed records of a batch."""
     before = previous.select("id", F.col("content_hash").alias("_h"))

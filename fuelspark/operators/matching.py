@@ -195,8 +195,7 @@ def candidate_counts(keys: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("block") == F.col("block_b"), product)) / 2, F.lit(0.0)).cast("bigint").alias("both_pairs"),
     )
     admin = admin_block_sizes(keys).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("admin_pairs"))
-    one = F.lit(1).alias("_one")
-    joined = geo.select("*", one).join(F.broadcast(admin.select("*", one)), "_one").drop("_one")  # one row each
+    joined = geo.withColumn("admin_pairs", admin.scalar())
     return joined.withColumn("total_pairs", F.col("geo_pairs") + F.col("admin_pairs") - F.col("both_pairs"))
 
 
@@ -287,9 +286,8 @@ def decision_summary(decisions: DataFrame, counts: DataFrame) -> DataFrame:
     named = decisions.agg(
         F.count_if(F.col("decision") == "auto_match").alias("auto_matched"),
         F.count_if(F.col("decision") == "review_queue").alias("review_queue"),
-    ).withColumn("_one", F.lit(1))
-    total = counts.select("total_pairs", F.lit(1).alias("_one"))
-    return named.join(F.broadcast(total), "_one").select(  # one row each
+    ).withColumn("total_pairs", counts.select("total_pairs").scalar())
+    return named.select(
         F.col("total_pairs").alias("total"), "auto_matched", "review_queue",
         (F.col("total_pairs") - F.col("auto_matched") - F.col("review_queue")).alias("rejected"),
     )

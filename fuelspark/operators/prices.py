@@ -92,12 +92,12 @@ def coverage(merged: DataFrame) -> DataFrame:
 
 
 def national_summary(merged: DataFrame) -> DataFrame:
-    """Statistics per fuel with the share of stations that have data (one-row side, broadcast)."""
+    """Statistics per fuel with the share of stations that have data (scalar subqueries)."""
     long = merged.unpivot(["id"], FUELS, "fuel", "price").filter("price is not null")
     fuels = merged.sparkSession.createDataFrame([(f,) for f in FUELS], "fuel string")
     stats = F.broadcast(price_statistics(long, "fuel"))
-    totals = F.broadcast(coverage(merged).withColumn("_one", F.lit(1)))
-    return fuels.join(stats, "fuel", "left").withColumn("_one", F.lit(1)).join(totals, "_one").drop("_one")
+    totals = coverage(merged)
+    return fuels.join(stats, "fuel", "left").select("*", *[totals.select(c).scalar().alias(c) for c in totals.columns])
 
 
 def app_statistics(long: DataFrame, flagged_ids: DataFrame) -> DataFrame:

@@ -187,22 +187,24 @@ def run_rule(rule_id: str, tables: Tables, settings: Settings) -> DataFrame:
     return RULES[rule_id].run(tables, settings)
 
 
-def run_all(tables: Tables, settings: Settings) -> DataFrame:
-    """All rules as one table; a rule that cannot be planned yields one row of high severity instead."""
+def run_all(tables: Tables, settings: Settings, path: str) -> DataFrame:
+    """All rules into one issue table at ``path``. A rule that fails, be it when it is planned or while it runs, leaves
+    one row of high severity with the whole error; the others are not touched."""
     spark = next(iter(tables.values())).sparkSession
-    parts = []
     for r in RULES.values():
+        target = f"{path}/rule_id={r.rule_id}"
         try:
-            part = r.run(tables, settings)
-            part.schema  # forces analysis, so a broken rule fails here
+            r.run(tables, settings).write.mode("overwrite").parquet(target)
         except Exception as error:  # noqa: BLE001 - any failure of a rule is reported as an issue
             row = (r.rule_id, "high", None, f"rule failed: {error}", {})
-            part = spark.createDataFrame([row], ISSUE_SCHEMA)
-        parts.append(part)
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+            spark.createDataFrame([row], ISSUE_SCHEMA).write.mode("overwrite").parquet(target)
+    return spark.read.schema(f"{ISSUE_SCHEMA}, rule_id string").parquet(path).drop("rule_id")
+
+
+def write_report(issues: DataFrame, path: str) -> None:
+    """Issues by rule and severity, and the issues themselves, as CSV."""
+    report(issues).write.mode("overwrite").option("header", True).csv(f"{path}/summary")
+    issues.withColumn("extra", F.to_json("extra")).write.mode("overwrite").option("header", True).csv(f"{path}/issues")
 
 
 def report(issues: DataFrame) -> DataFrame:

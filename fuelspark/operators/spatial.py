@@ -76,13 +76,13 @@ def matrix_summary(stations: DataFrame, radii: tuple[int, ...] = (5, 20, 50)) ->
     product = F.col("n") * F.col("n_b")
     counts = pairs.agg(*[
         F.coalesce(F.sum(F.when(F.col("km") <= r, product)), F.lit(0)).alias(f"pairs_{r}km") for r in radii
-    ]).withColumn("_one", F.lit(1))
+    ])
     located = F.count_if((F.col("lat") != 0) & (F.col("lng") != 0))
     totals = stations.agg(
         F.count(F.lit(1)).alias("station_count"),
         js_round(located / F.count(F.lit(1)) * 100).alias("coverage_pct"),
-    ).withColumn("_one", F.lit(1))
-    return F.broadcast(totals).join(counts, "_one").drop("_one")  # one row on either side
+    )
+    return counts.select(*[totals.select(c).scalar().alias(c) for c in totals.columns], *counts.columns)
 
 
 def neighbours(stations: DataFrame, radius_km: float = 10.0, wanted: DataFrame | None = None) -> DataFrame:
@@ -188,11 +188,9 @@ def station_cards(stations: DataFrame, radius_km: float = 5.0, n: int = 5) -> Da
     others = F.slice(F.filter("_near", lambda x: x["id_b"] != F.col("id")), 1, n)
     priced = F.transform(F.filter("_others", lambda x: x["price_b"].isNotNull()), lambda x: F.struct(x["price_b"], x["id_b"]))
     falling = F.transform("_priced", lambda x: F.struct((-x["price_b"]).alias("k"), x["id_b"].alias("id_b")))
-    mean = F.broadcast(stations.agg(
-        mean_price(F.sum(cents(F.col("price"))), F.count("price")).alias("national_avg")
-    ).withColumn("_one", F.lit(1)))  # one row
+    mean = stations.agg(mean_price(F.sum(cents(F.col("price"))), F.count("price")).alias("national_avg")).scalar()
     cards = stations.join(area, ["lat", "lng"], "left").withColumn("_others", others).withColumn("_priced", priced)
-    return cards.withColumn("_one", F.lit(1)).join(mean, "_one").select(
+    return cards.withColumn("national_avg", mean).select(
         "id", "price", F.coalesce(F.size("_others"), F.lit(0)).alias("nearby"),
         F.array_min("_priced")["id_b"].alias("cheapest_id"), F.array_min("_priced")["price_b"].alias("cheapest_price"),
         F.array_min(falling)["id_b"].alias("dearest_id"), (-F.array_min(falling)["k"]).alias("dearest_price"),

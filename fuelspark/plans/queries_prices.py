@@ -47,6 +47,17 @@ def dated(df):
     return df.withColumn("date", F.col("date").cast("string"))
 
 
+def per_fuel(name, sql, function):
+    """A query over each fuel in turn: ``{fuel}`` in the SQL, a third argument of the function."""
+    text = " UNION ALL ".join(f"SELECT '{f}' fuel, * FROM ({sql.replace('{fuel}', f)})" for f in FUELS)
+
+    def run(spark, d):
+        parts = [function(spark, d, f).select(F.lit(f).alias("fuel"), "*") for f in FUELS]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    query(name, text)(run)
+
+
 # --- joins ------------------------------------------------------------------------------------------
 
 query("joi_01_stations_with_prices", "SELECT id, name, brand, city, state, regular, premium, diesel, has_data FROM merged")(
@@ -191,9 +202,9 @@ query("ts_06_weekday_pattern", f"""
  LEFT JOIN (SELECT id, fuel, dayofweek("date") w, {avg_price()} avg_price FROM snapshots GROUP BY 1,2,3) a ON a.id=k.id AND a.fuel=k.fuel AND w=dd""")(
     lambda s, d: trends.weekday_pattern(snapshots(s, d), ["id", "fuel"]))
 for falling in (True, False):
-    query(f"ts_07_most_{'improved' if falling else 'worsened'}", f"""
- SELECT * FROM ({_change_sql(7)}) WHERE "date"='{LAST_DAY}' AND fuel='regular' AND change{'<' if falling else '>'}0 ORDER BY change {'ASC' if falling else 'DESC'}, id LIMIT 10""")(
-        lambda s, d, f=falling: dated(trends.biggest_moves(snapshots(s, d), LAST_DAY, "regular", f)))
+    per_fuel(f"ts_07_most_{'improved' if falling else 'worsened'}", f"""
+ SELECT * EXCLUDE (fuel) FROM ({_change_sql(7)}) WHERE "date"='{LAST_DAY}' AND fuel='{{fuel}}' AND change{'<' if falling else '>'}0 ORDER BY change {'ASC' if falling else 'DESC'}, id LIMIT 10""",
+             lambda s, d, fuel, f=falling: dated(trends.biggest_moves(snapshots(s, d), LAST_DAY, fuel, f)).drop("fuel"))
 
 
 def _forecast_sql(source, keys):
@@ -234,8 +245,8 @@ query("ts_12_versus_average", f"""
  SELECT id, fuel, price, "avg", {jr('price-"avg"', 2)} AS "value", {jr('(price-"avg")/"avg"*100', 1)} pct, CASE WHEN price-"avg">0.005e0 THEN 'above' WHEN price-"avg"<-0.005e0 THEN 'below' ELSE 'equal' END direction
  FROM prices JOIN (SELECT fuel, {avg_price()} "avg" FROM prices GROUP BY 1) USING(fuel)""")(lambda s, d: prices.versus_average(long_prices(s, d)))
 for name, op, order in (("cheapest", prices.cheapest, "price, id"), ("dearest", prices.dearest, "price DESC, id")):
-    query(f"ts_13_{name}", f"SELECT id, fuel, price FROM prices WHERE fuel='regular' ORDER BY {order} LIMIT 10")(
-        lambda s, d, op=op: op(long_prices(s, d).filter("fuel = 'regular'")))
+    per_fuel(f"ts_13_{name}", f"SELECT id, price FROM prices WHERE fuel='{{fuel}}' ORDER BY {order} LIMIT 10",
+             lambda s, d, fuel, op=op: op(long_prices(s, d).filter(F.col("fuel") == fuel)).drop("fuel"))
 query("ts_14_cheapest_decile", """
  SELECT id, p.fuel, price, v[(len(v)//10)+1] decile_price, price<=v[(len(v)//10)+1] is_cheapest FROM prices p
  JOIN (SELECT fuel, list_sort(list(price)) v FROM prices GROUP BY 1) USING(fuel)""")(lambda s, d: prices.cheapest_decile(long_prices(s, d)))
@@ -340,7 +351,7 @@ _LEN = f"""(SELECT route_id, count(*) points, {jr('coalesce(sum(floor(leg*100000
 query("flt_06_route_length", f"SELECT * FROM {_LEN}")(lambda s, d: fleet.route_length(b.route_points(s, d)))
 
 
-def _corridor_sql(step, snap, strict=False, fuel="regular"):
+def _corridor_sql(step, snap, strict=False, fuel="{fuel}"):
     return f"""(SELECT route_id, id, price, {jr('min(km)', 4)} snap_km FROM (SELECT r.route_id, p.id, p.price, {hav('r.lat', 'r.lng', 'p.lat', 'p.lng')} km
  FROM route_points r JOIN priced p ON r.seq%{step}=0 AND p.fuel='{fuel}') WHERE km{'<' if strict else '<='}{snap} GROUP BY 1,2,3)"""
 
@@ -349,23 +360,23 @@ def _priced_of(spark, d, fuel="regular"):
     return priced(spark, d).filter(F.col("fuel") == fuel)
 
 
-def _corridor(spark, d, snap=5.0, step=8, strict=False):
-    return spatial.corridor(b.route_points(spark, d), _priced_of(spark, d).select("id", "lat", "lng", "price"), snap, step, strict)
+def _corridor(spark, d, fuel, snap=5.0, step=8, strict=False):
+    return spatial.corridor(b.route_points(spark, d), _priced_of(spark, d, fuel).select("id", "lat", "lng", "price"), snap, step, strict)
 
 
-query("joi_10_route_corridor", f"SELECT * FROM {_corridor_sql(8, 5)}")(lambda s, d: _corridor(s, d))
-query("joi_10_route_corridor_wide", f"SELECT * FROM {_corridor_sql(8, 20)}")(lambda s, d: _corridor(s, d, 20.0))
-query("joi_10_route_corridor_strict", f"SELECT * FROM {_corridor_sql(10, 5, True)}")(lambda s, d: _corridor(s, d, 5.0, 10, True))
-query("flt_07_route_summary", f"""
+per_fuel("joi_10_route_corridor", f"SELECT * FROM {_corridor_sql(8, 5)}", _corridor)
+per_fuel("joi_10_route_corridor_wide", f"SELECT * FROM {_corridor_sql(8, 20)}", lambda s, d, f: _corridor(s, d, f, 20.0))
+per_fuel("joi_10_route_corridor_strict", f"SELECT * FROM {_corridor_sql(10, 5, True)}", lambda s, d, f: _corridor(s, d, f, 5.0, 10, True))
+per_fuel("flt_07_route_summary", f"""
  SELECT route_id, count(*) stations, min(price) lowest_price, {jr(f"sum({cents('price')})/count(*)/100e0", 2)} mean_price,
-  CASE WHEN count(*)>=2 THEN {jr(f"(sum({cents('price')})/count(*)/100e0-min(price))*50", 2)} ELSE 0e0 END estimated_savings FROM {_corridor_sql(8, 5)} GROUP BY 1""")(
-    lambda s, d: fleet.route_summary(_corridor(s, d)))
-query("flt_07_route_top", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY price, id) AS \"rank\" FROM {_corridor_sql(8, 5)}) WHERE \"rank\"<=5")(
-    lambda s, d: fleet.route_top(_corridor(s, d)))
-query("flt_07_route_trip_cost", f"""
+  CASE WHEN count(*)>=2 THEN {jr(f"(sum({cents('price')})/count(*)/100e0-min(price))*50", 2)} ELSE 0e0 END estimated_savings FROM {_corridor_sql(8, 5)} GROUP BY 1""",
+         lambda s, d, f: fleet.route_summary(_corridor(s, d, f)))
+per_fuel("flt_07_route_top", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY price, id) AS \"rank\" FROM {_corridor_sql(8, 5)}) WHERE \"rank\"<=5",
+         lambda s, d, f: fleet.route_top(_corridor(s, d, f)))
+per_fuel("flt_07_route_trip_cost", f"""
  SELECT route_id, "rank", id, price, {jr('length_km/12e0', 2)} needed_liters, {jr('length_km/12e0*price', 2)} trip_cost FROM (
- SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY price, id) AS "rank" FROM {_corridor_sql(10, 5, True)}) JOIN {_LEN} USING(route_id) WHERE "rank"<=3""")(
-    lambda s, d: fleet.route_trip_cost(_corridor(s, d, 5.0, 10, True), fleet.route_length(b.route_points(s, d))))
+ SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY price, id) AS "rank" FROM {_corridor_sql(10, 5, True)}) JOIN {_LEN} USING(route_id) WHERE "rank"<=3""",
+         lambda s, d, f: fleet.route_trip_cost(_corridor(s, d, f, 5.0, 10, True), fleet.route_length(b.route_points(s, d))))
 
 
 def flagged(spark, d):
@@ -390,20 +401,20 @@ POINTS = "points AS (SELECT c_custkey point_id, 19e0+((c_custkey*29)%100)/250e0
 _PKM = jr(hav("o.lat", "o.lng", "s.lat", "s.lng"), 2)
 query("joi_09_around_points", f"""WITH {POINTS} SELECT point_id, id, {_PKM} distance_km, {jr(man('o.lat', 'o.lng', 's.lat', 's.lng'), 2)} manhattan_km
  FROM points o JOIN stations s ON {_PKM}<=3""")(lambda s, d: spatial.around_points(user_points(s, d), b.stations(s, d), 3.0))
-query("flt_09_nearest_cheapest", f"""WITH {POINTS}, n AS (SELECT point_id, id, price, {_PKM} distance_km, row_number() OVER (PARTITION BY point_id ORDER BY price, id) k
- FROM points o JOIN priced s ON s.fuel='regular' AND {_PKM}<=5 WHERE id NOT IN (SELECT id FROM anomalies)) SELECT point_id, id, price, distance_km FROM n WHERE k=1""")(
-    lambda s, d: spatial.nearest_cheapest(user_points(s, d), flagged(s, d).filter("fuel = 'regular'").select("id", "lat", "lng", "price", "is_anomaly")))
-query("flt_10_nearby_rankings", f"""WITH {POINTS}, n AS (SELECT point_id, id, regular price, {_PKM} distance_km FROM points o JOIN merged s ON {_PKM}<=10),
+per_fuel("flt_09_nearest_cheapest", f"""WITH {POINTS}, n AS (SELECT point_id, id, price, {_PKM} distance_km, row_number() OVER (PARTITION BY point_id ORDER BY price, id) k
+ FROM points o JOIN priced s ON s.fuel='{{fuel}}' AND {_PKM}<=5 WHERE id NOT IN (SELECT id FROM anomalies)) SELECT point_id, id, price, distance_km FROM n WHERE k=1""",
+         lambda s, d, f: spatial.nearest_cheapest(user_points(s, d), flagged(s, d).filter(F.col("fuel") == f).select("id", "lat", "lng", "price", "is_anomaly")))
+per_fuel("flt_10_nearby_rankings", f"""WITH {POINTS}, n AS (SELECT point_id, id, {{fuel}} price, {_PKM} distance_km FROM points o JOIN merged s ON {_PKM}<=10),
  r AS (SELECT point_id, 'nearest' ranking, row_number() OVER (PARTITION BY point_id ORDER BY distance_km, id)::INT AS "rank", id, price, distance_km FROM n UNION ALL
-  SELECT point_id, 'cheapest', row_number() OVER (PARTITION BY point_id ORDER BY price, distance_km, id)::INT, id, price, distance_km FROM n WHERE price IS NOT NULL) SELECT * FROM r WHERE "rank"<=5""")(
-    lambda s, d: spatial.nearby_rankings(user_points(s, d), merged(s, d).select("id", "lat", "lng", F.col("regular").alias("price"))))
-query("flt_11_station_cards", f"""
- WITH n AS (SELECT a.id, b.id nb, b.regular price, row_number() OVER (PARTITION BY a.id ORDER BY {jr(hav('a.lat', 'a.lng', 'b.lat', 'b.lng'), 2)}, b.id) k
+  SELECT point_id, 'cheapest', row_number() OVER (PARTITION BY point_id ORDER BY price, distance_km, id)::INT, id, price, distance_km FROM n WHERE price IS NOT NULL) SELECT * FROM r WHERE "rank"<=5""",
+         lambda s, d, f: spatial.nearby_rankings(user_points(s, d), merged(s, d).select("id", "lat", "lng", F.col(f).alias("price"))))
+per_fuel("flt_11_station_cards", f"""
+ WITH n AS (SELECT a.id, b.id nb, b.{{fuel}} price, row_number() OVER (PARTITION BY a.id ORDER BY {jr(hav('a.lat', 'a.lng', 'b.lat', 'b.lng'), 2)}, b.id) k
   FROM merged a JOIN merged b ON a.id<>b.id AND {jr(hav('a.lat', 'a.lng', 'b.lat', 'b.lng'), 2)}<=5),
  c AS (SELECT id, count(*) nearby, arg_min(nb,(price,nb)) FILTER (price IS NOT NULL) cheapest_id, min(price) cheapest_price, arg_min(nb,(-price,nb)) FILTER (price IS NOT NULL) dearest_id, max(price) dearest_price FROM n WHERE k<=5 GROUP BY 1),
- m AS (SELECT {avg_price('regular')} national_avg FROM merged)
- SELECT id, regular price, coalesce(nearby,0)::INT nearby, cheapest_id, cheapest_price, dearest_id, dearest_price, national_avg, {jr('regular-national_avg', 2)} vs_national FROM merged LEFT JOIN c USING(id), m""")(
-    lambda s, d: spatial.station_cards(merged(s, d).select("id", "lat", "lng", F.col("regular").alias("price"))))
+ m AS (SELECT {avg_price('{fuel}')} national_avg FROM merged)
+ SELECT id, {{fuel}} price, coalesce(nearby,0)::INT nearby, cheapest_id, cheapest_price, dearest_id, dearest_price, national_avg, {jr('{fuel}-national_avg', 2)} vs_national FROM merged LEFT JOIN c USING(id), m""",
+         lambda s, d, f: spatial.station_cards(merged(s, d).select("id", "lat", "lng", F.col(f).alias("price"))))
 query("flt_12_weekly_digest", f"""
  WITH w AS (SELECT *, date_trunc('week',"date")::DATE AS week FROM snapshots), nat AS (SELECT week, fuel, {avg_price()} "avg" FROM w GROUP BY 1,2),
  nl AS (SELECT *, lag("avg") OVER (PARTITION BY fuel ORDER BY week) pv FROM nat), ci AS (SELECT week, fuel, city, {avg_price()} a FROM w JOIN stations USING(id) GROUP BY 1,2,3),
@@ -427,10 +438,10 @@ query("joi_08_neighbours", f"""SELECT a.id, b.id neighbour_id, {jr(hav(*_AB), 2)
 query("joi_08_neighbours_of_brand", f"""SELECT a.id, b.id neighbour_id, {jr(hav(*_AB), 2)} distance_km, {jr(man(*_AB), 2)} manhattan_km
  FROM stations a JOIN stations b ON a.id<>b.id AND a.brand='BRAND_3' AND {jr(hav(*_AB), 2)}<=10""")(
     lambda s, d: spatial.neighbours(b.stations(s, d), 10.0, b.stations(s, d).filter("brand = 'BRAND_3'")))
-query("joi_11_fuel_stops", f"""
+per_fuel("joi_11_fuel_stops", f"""
  SELECT * FROM (SELECT route_id, seq, row_number() OVER (PARTITION BY route_id, seq ORDER BY price, id)::INT AS "rank", id, price, km distance_km FROM (
-  SELECT r.route_id, r.seq, p.id, p.price, {jr(hav('r.lat', 'r.lng', 'p.lat', 'p.lng'), 2)} km FROM route_points r JOIN priced p ON p.fuel='diesel') WHERE km<=10) WHERE "rank"<=5""")(
-    lambda s, d: spatial.fuel_stops(b.route_points(s, d), _priced_of(s, d, "diesel").select("id", "lat", "lng", "price")))
+  SELECT r.route_id, r.seq, p.id, p.price, {jr(hav('r.lat', 'r.lng', 'p.lat', 'p.lng'), 2)} km FROM route_points r JOIN priced p ON p.fuel='{{fuel}}') WHERE km<=10) WHERE "rank"<=5""",
+         lambda s, d, f: spatial.fuel_stops(b.route_points(s, d), _priced_of(s, d, f).select("id", "lat", "lng", "price")))
 query("agg_11_map_cells", "WITH c AS (SELECT {g} cell, coalesce(brand,'OTRO') brand, regular FROM merged), n AS (SELECT cell, brand, count(*) k FROM c GROUP BY 1,2) SELECT cell, count(*) station_count, min(regular) min_price, (SELECT brand FROM n WHERE n.cell=c.cell ORDER BY k DESC, brand LIMIT 1) top_brand FROM c GROUP BY cell".replace("{g}", geohash("lat", "lng", 5)))(
     lambda s, d: spatial.cell_rollup(merged(s, d).withColumn("price", F.col("regular")), 5))
 query("agg_12_price_grid", "SELECT {g} cell, fuel, {a} avg_price, count(*) n FROM priced GROUP BY 1,2".replace("{g}", geohash("lat", "lng", 5)).replace("{a}", avg_price()))(

@@ -6,6 +6,7 @@ from fuelspark.functions import text
 from fuelspark.functions.geo import coordinate_precision, geohash, valid_latitude, valid_longitude
 from fuelspark.operators import conform, masters, matching, quality, spatial
 from fuelspark.operators.prices import sane_price
+from fuelspark.operators.scale import scratch_path
 from fuelspark.plans import bindings as b
 from fuelspark.plans.catalogue import query, stage
 from fuelspark.plans.sqlviews import comparison, geohash as geohash_sql, hav, jr, norm_zip, precision_class
@@ -218,7 +219,8 @@ def hashed(spark, d):
 HASHED = VERSIONS + """, cur AS (SELECT id, source, raw_name, lat, k FROM new UNION ALL SELECT id, source, raw_name, lat, k FROM old WHERE k%4<>0), prev AS (SELECT * FROM old WHERE k%10<>0),
  cmp AS (SELECT c.id, c.source, p.id IS NULL is_new, coalesce(c.raw_name=p.raw_name AND c.lat IS NOT DISTINCT FROM p.lat, false) same FROM cur c LEFT JOIN prev p USING(id))"""
 query("er_20_audit", f"""WITH {HASHED} SELECT source, count(*) records_fetched, count(*) FILTER (is_new) records_new, count(*) FILTER (NOT is_new AND NOT same) records_updated, count(*) FILTER (same) records_unchanged,
- 0::BIGINT records_failed, 'b2' batch_id, '{AS_OF}' run_at, 'success' status FROM cmp GROUP BY 1""")(lambda s, d: masters.audit_rows(*hashed(s, d), "b2", AS_OF))
+ 0::BIGINT records_failed, 'b2' batch_id, '{AS_OF}' run_at, 'success' status FROM cmp GROUP BY 1""")(
+    lambda s, d: masters.audited(s, "b2", AS_OF, lambda: masters.audit_rows(*hashed(s, d), "b2", AS_OF), scratch_path(s, "audit")).drop("error", "duration_seconds"))
 query("er_21_active_masters", "SELECT master_id FROM masters WHERE status='active'")(lambda s, d: masters.active_masters(b.masters(s, d)).select("master_id"))
 
 
@@ -266,7 +268,7 @@ def tables(spark, d):
 
 
 def issues(spark, d):
-    return stage(spark, d, "issues", lambda: quality.run_all(tables(spark, d), quality.Settings(AS_OF)))
+    return stage(spark, d, "issues", lambda: quality.run_all(tables(spark, d), quality.Settings(AS_OF), scratch_path(spark, "rules")))
 
 
 _FAR = "{h}*1000>5000".format(h=hav("a.lat", "a.lng", "b.lat", "b.lng"))
@@ -300,6 +302,16 @@ for _id, (_severity, _sql) in ISSUES.items():
 _ALL = " UNION ALL ".join(f"SELECT '{i}' AS \"rule\", '{sev}' severity FROM ({q})" for i, (sev, q) in ISSUES.items())
 query("qa_11_severity_totals", f"SELECT count(*) total, {', '.join(f'''count(*) FILTER (severity='{x}') {x}''' for x in ('high', 'medium', 'low'))} FROM ({_ALL})")(lambda s, d: quality.severity_totals(issues(s, d)))
 query("qa_12_report", f'SELECT "rule", severity, count(*) issues FROM ({_ALL}) GROUP BY 1,2')(lambda s, d: quality.report(issues(s, d)))
+
+
+@query("qa_12_csv_report", f'SELECT "rule", severity, count(*) issues FROM ({_ALL}) GROUP BY 1,2')
+def csv_report(spark, d):
+    path = scratch_path(spark, "quality-report")
+    quality.write_report(issues(spark, d), path)
+    back = spark.read.option("header", True).csv(f"{path}/issues")
+    return back.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("issues"))
+
+
 query("joi_15_permit_pairs", f"SELECT a.master_id, count(*) others, max(floor({hav('a.lat', 'a.lng', 'b.lat', 'b.lng')}*100+0.5e0)/100) farthest_km FROM masters a JOIN masters b ON a.pl_number=b.pl_number AND a.master_id<>b.master_id AND {_FAR} GROUP BY 1")(
     lambda s, d: quality.run_rule("QA-02", tables(s, d), quality.Settings(AS_OF)).select("master_id", F.col("extra")["others"].cast("bigint").alias("others"), F.col("extra")["distance_km"].cast("double").alias("farthest_km")))
 query("joi_16_unpaired", "SELECT id FROM raw_staging WHERE id NOT IN (SELECT id_a FROM blocked UNION SELECT id_b FROM blocked)")(
