@@ -13,7 +13,6 @@ from tests.llm.conftest import lower
 
 from fuelspark.llm import characters, language_id, language_model, quality_crf, toxicity
 from fuelspark.llm.queries import QUERIES
-from fuelspark.llm.rows import crc_remainder
 
 
 def folds(spark, modulus, held):
