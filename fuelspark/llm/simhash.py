@@ -15,7 +15,7 @@ Defined results: null and blank texts have fingerprint zero and link like any ot
 is the one shingle; rows with the same id keep their own rows; a null id never names a component unless all are null.
 """
 
-from itertools import accumulate, combinations
+from itertools import accumulate, chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +141,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
     def meet(batches):
         keys, fp = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        for batch in (*batches, None):
+        for batch in chain(batches, (None,)):
             if batch is not None:
                 keys = np.concatenate([keys, batch.column(0).to_numpy().view(np.uint64)])
                 fp = np.concatenate([fp, batch.column(1).to_numpy().view(np.uint64)])
@@ -241,8 +241,12 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near_list_links(keys: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of linked pairs within the lists of sorted keys. A list longer than ``PAIRWISE`` is taken apart around
-    leaders: whatever is near the first one left links to it and needs no further comparison there."""
+    """Places of linked pairs within the lists of sorted keys, enough to connect what the links of a list connect.
+
+    Members stand in the same order in every list, and links to the first ones are preferred, so that the lists of a
+    group of near copies bring mostly the same links. A list longer than ``PAIRWISE`` is taken apart around leaders:
+    whatever is near the first one left links to it and needs no further comparison there.
+    """
     change = np.flatnonzero(np.diff(keys)) + 1
     begins, ends = np.append(0, change), np.append(change, len(keys))
     sizes = ends - begins
@@ -253,6 +257,10 @@ def near_list_links(keys: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.
         near = i[_apart(wide[i], wide[i + d]) <= NEAR_BITS]
         a.append(near)
         b.append(near + d)
+    a, b = [np.concatenate(a)], [np.concatenate(b)]
+    order = np.lexsort((b[0], a[0]))
+    kept = np.array(_forest(a[0][order], b[0][order]), np.int64).reshape(-1, 2)
+    a, b = [kept[:, 0]], [kept[:, 1]]
     for s, e in zip(begins[sizes > PAIRWISE], ends[sizes > PAIRWISE], strict=True):
         left = np.arange(s, e)
         while len(left) > 1:
@@ -277,7 +285,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
     def meet(batches):
         keys, wide = np.zeros(0, np.uint64), np.zeros((0, NEAR_WORDS), np.uint64)
-        for batch in (*batches, None):
+        for batch in chain(batches, (None,)):
             if batch is not None:
                 keys = np.concatenate([keys, batch.column(0).to_numpy().view(np.uint64)])
                 wide = np.concatenate([wide, np.stack([batch.column(k + 1).to_numpy().view(np.uint64) for k in range(NEAR_WORDS)], axis=1)])
@@ -291,7 +299,23 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
     columns = ", ".join(f"{c} bigint" for c in NEAR_COLUMNS)
     index = distinct.select(*NEAR_COLUMNS).mapInArrow(postings, f"key bigint, {columns}")
-    return index.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint").distinct()
+    return index.repartition("key").sortWithinPartitions("key", *NEAR_COLUMNS).mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def thinned(edges: DataFrame, at_once: int = 500_000) -> DataFrame:
+    """Fewer edges that connect the same: of every ``at_once`` edges of a partition, those that join two trees."""
+    def run(batches):
+        a, b = [], []
+        for batch in chain(batches, (None,)):
+            if batch is not None:
+                a.append(batch.column(0).to_numpy())
+                b.append(batch.column(1).to_numpy())
+            if a and (batch is None or sum(map(len, a)) >= at_once):
+                kept = np.array(_forest(np.concatenate(a), np.concatenate(b)), np.int64).reshape(-1, 2)
+                a, b = [], []
+                yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], names=["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,7 +334,7 @@ def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = materialize(map_rows(rows, ["doc_id", "key"], ["text"], [(c, "bigint") for c in ("node", *NEAR_COLUMNS)], start), "wide")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
     distinct = prints.groupBy("node", *NEAR_COLUMNS).agg(least)
-    roots = components(near_links(distinct), "near")
+    roots = components(thinned(materialize(near_links(distinct), "near-links")), "near")
     rooted = distinct.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("f")).select(F.col("f.doc_id").alias("_first_id"), F.col("f.key").alias("_first_key")).distinct()
     return _only(docs, first, id_col, text_col)
