@@ -240,12 +240,49 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32)
 
 
+def spanning(n: int, near, front: np.ndarray | None = None, once: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all of 0..n-1 that chains of near pairs connect. ``near(i, others)`` flags the others near i.
+
+    Whatever is reached is compared with all that is not reached yet, and with nothing else, so a dense group costs few
+    rounds and no link that would connect anything is left out. ``front`` are members taken as reached; ``once``: only
+    these are compared with the others.
+    """
+    left = np.arange(n) if front is None else np.setdiff1d(np.arange(n), front)
+    none = np.zeros(0, np.int64)
+    a, b = [none], [none]
+    front = none if front is None else front
+    while len(left):
+        if not len(front):
+            front, left = left[:1], left[1:]
+        reached = [none]
+        if len(front) <= len(left):
+            for i in front.tolist():
+                hit = near(i, left)
+                if hit.any():
+                    reached.append(left[hit])
+                    a.append(np.full(len(reached[-1]), i))
+                    b.append(reached[-1])
+                    left = left[~hit]
+        else:
+            for j in left.tolist():
+                hit = near(j, front)
+                if hit.any():
+                    a.append(front[[hit.argmax()]])
+                    b.append(np.array([j]))
+                    reached.append(b[-1])
+            left = np.setdiff1d(left, np.concatenate(reached), assume_unique=True)
+        front = np.concatenate(reached)
+        if once:
+            break
+    return np.concatenate(a), np.concatenate(b)
+
+
 def near_list_links(keys: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of linked pairs within the lists of sorted keys, enough to connect what the links of a list connect.
+    """Places of linked pairs within the lists of sorted keys, which connect exactly what the links of a list connect.
 
     Members stand in the same order in every list, and links to the first ones are preferred, so that the lists of a
-    group of near copies bring mostly the same links. A list longer than ``PAIRWISE`` is taken apart around leaders:
-    whatever is near the first one left links to it and needs no further comparison there.
+    group of near copies bring mostly the same links. Lists of up to ``PAIRWISE`` are compared pair by pair, longer ones
+    from each member reached to those not reached yet; both give a spanning forest of the list's links.
     """
     change = np.flatnonzero(np.diff(keys)) + 1
     begins, ends = np.append(0, change), np.append(change, len(keys))
@@ -262,13 +299,10 @@ def near_list_links(keys: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.
     kept = np.array(_forest(a[0][order], b[0][order]), np.int64).reshape(-1, 2)
     a, b = [kept[:, 0]], [kept[:, 1]]
     for s, e in zip(begins[sizes > PAIRWISE], ends[sizes > PAIRWISE], strict=True):
-        left = np.arange(s, e)
-        while len(left) > 1:
-            leader, left = left[0], left[1:]
-            near = _apart(wide[left], wide[leader]) <= NEAR_BITS
-            b.append(left[near])
-            a.append(np.full(int(near.sum()), leader))
-            left = left[~near]
+        own = wide[s:e]
+        x, y = spanning(e - s, lambda i, others, own=own: _apart(own[others], own[i]) <= NEAR_BITS)
+        a.append(x + s)
+        b.append(y + s)
     return np.concatenate(a), np.concatenate(b)
 
 

@@ -298,3 +298,15 @@ def test_pigeonhole_retrieves_every_code_within_the_radius():
     shard = neighbours.Shard(codes, np.arange(300), vectors)
     words = codes.encode(rng.standard_normal((20, 16)))
     assert not (~shard.probe(words) & (shard.distances(words) <= 9)).any()
+
+
+@pytest.mark.parametrize("size", [47, 48, 49, 50, 300])
+def test_chains_in_lists_of_any_length(size):
+    """B is near the leader A, and C is near B alone: in one list, whatever its length, C must hang on."""
+    wide = np.random.default_rng(5).integers(0, 1 << 64, (size, 4), dtype=np.uint64)
+    flip = lambda row, bits: row ^ np.array([sum(1 << k - 64 * w for k in bits if k // 64 == w) for w in range(4)], np.uint64)
+    step = simhash.NEAR_BITS
+    wide[1] = flip(wide[0], range(step))
+    wide[2] = flip(wide[1], range(step, 2 * step))
+    a, b = simhash.near_list_links(np.zeros(size, np.uint64), wide)
+    assert {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)} == {frozenset((0, 1)), frozenset((1, 2))}
