@@ -182,15 +182,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 # --- near copies by similarity ----------------------------------------------------------------------
 #
 # Texts whose sets of five-word shingles have a similarity of 0.8 differ in about 15 % of the bits, which is far more than
-# two of 64. For them the fingerprint has 256 bits, and the index is keyed by triples of its 32 byte positions: a pair
-# that shares the three bytes of any listed triple is a candidate, and is verified by all its bits. A pair of similarity
-# 0.9 shares one of the triples with a chance of 99.99 %, one of 0.85 with 99 %, one of 0.8 with 91 %; of a group, it is
-# enough that links connect it.
+# two of 64. For them the fingerprint has 256 bits and only finds candidates: the bits are turned (put in another order)
+# several times, and the index is keyed by each turn's pairs of bytes. A pair that shares a key and differs in at most
+# NEAR_BITS bits is a candidate; by calculation, of pairs of similarity 0.8 99.9 % are, of 0.85 99.99 %. Groups of
+# candidates are then settled by their texts: only a similarity of their shingles of at least 0.8 links.
 
 NEAR_SHINGLE = 5
 NEAR_WORDS = 4
-NEAR_BITS = 48
-_TRIPLES = sorted({tuple(sorted(((7 * k) % 32, (7 * k + 1 + k // 32 + k % 5) % 32, (7 * k + 13 + 3 * (k // 32)) % 32))) for k in range(128)})
+NEAR_BITS = 68
+_TURNS = [np.random.default_rng(k).permutation(64 * NEAR_WORDS) for k in range(48)]
+# Turn and two byte positions of a key. From LIST_PRINTS prints on, keys get more bits and grow in number accordingly.
+_TRIPLES = [(t, 2 * k, 2 * k + 1) for t in range(10) for k in range(16)]
+LIST_PRINTS = 1 << 20
+# Shingles of one side that meet in one task while a group of candidates is settled.
+PART_SHINGLES = 2_000_000
 NEAR_COLUMNS = [f"w{k}" for k in range(NEAR_WORDS)]
 
 
@@ -200,19 +205,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(text: str | None) -> np.ndarray:
-    """256 bits over the distinct five-word shingles; zero for a text without words."""
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """Sorted hashes of the distinct five-word shingles; none for a text without words."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
     if not words:
-        return np.zeros(NEAR_WORDS, np.uint64)
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
     starts = [0, *[e + 1 for e in ends]]
     digest = xxhash.xxh64_intdigest
     if len(words) < NEAR_SHINGLE:
-        hashes = np.array([digest(joined, SEED)], "<u8")
-    else:
-        hashes = np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[NEAR_SHINGLE - 1 :], strict=False)], "<u8"))
+        return np.array([digest(joined, SEED)], "<u8")
+    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[NEAR_SHINGLE - 1 :], strict=False)], "<u8"))
+
+
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """256 bits over distinct shingles; zero without any."""
+    if not len(hashes):
+        return np.zeros(NEAR_WORDS, np.uint64)
     total = np.zeros(64 * NEAR_WORDS, np.int64)
     for at in range(0, len(hashes), 16_384):
         part = hashes[at : at + 16_384]
@@ -221,6 +231,11 @@ def wide_fingerprint(text: str | None) -> np.ndarray:
     return np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")
 
 
+def wide_fingerprint(text: str | None) -> np.ndarray:
+    """256 bits over the distinct five-word shingles; zero for a text without words."""
+    return wide_print(shingle_hashes(text))
+
+
 def _nodes(wide: np.ndarray) -> np.ndarray:
     out = np.zeros(len(wide), np.uint64)
     for k in range(NEAR_WORDS):
@@ -228,11 +243,20 @@ def _nodes(wide: np.ndarray) -> np.ndarray:
     return out
 
 
-def triple_keys(wide: np.ndarray) -> np.ndarray:
-    octets = np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), -1).astype(np.uint64)
-    keys = np.empty((len(wide), len(_TRIPLES)), np.uint64)
-    for c, (x, y, z) in enumerate(_TRIPLES):
-        keys[:, c] = np.uint64(c << 24) | octets[:, x] << np.uint64(16) | octets[:, y] << np.uint64(8) | octets[:, z]
+def extra_bits(prints: int) -> int:
+    """Bits that keys have beyond two bytes, so that lists of unrelated prints stay short."""
+    return min(8, max(0, (max(1, prints) - 1).bit_length() - (LIST_PRINTS - 1).bit_length()))
+
+
+def triple_keys(wide: np.ndarray, extra: int = 0) -> np.ndarray:
+    """A column of keys per turn and pair of bytes; each extra bit halves the lists and takes 1.19 times the turns."""
+    bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little")
+    places = _TRIPLES if not extra else [(t, 2 * k, 2 * k + 1) for t in range(round(10 * 1.19**extra)) for k in range(16)]
+    keys, turned, turn = np.empty((len(wide), len(places)), np.uint64), None, -1
+    for c, (t, x, y) in enumerate(places):
+        if t != turn:
+            turned, turn = np.packbits(bits[:, _TURNS[t]], axis=1).astype(np.uint64), t
+        keys[:, c] = (np.uint64(c << 24) | turned[:, x] << np.uint64(16) | turned[:, y] << np.uint64(8)) | turned[:, (y + 1) % 32] >> np.uint64(8 - extra)
     return keys
 
 
@@ -307,13 +331,15 @@ def near_list_links(keys: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
-    """Links between the nodes of distinct wide fingerprints."""
+    """Links between candidates among distinct wide fingerprints, named by ``_nodes``."""
+    extra = extra_bits(distinct.count())
+
     def postings(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 5_000):
                 part = batch.slice(at, 5_000)
                 wide = np.stack([part.column(k).to_numpy().view(np.uint64) for k in range(NEAR_WORDS)], axis=1)
-                keys = triple_keys(wide)
+                keys = triple_keys(wide, extra)
                 repeated = np.repeat(wide, keys.shape[1], axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *[pa.array(np.ascontiguousarray(repeated[:, k]).view(np.int64)) for k in range(NEAR_WORDS)]], names=["key", *NEAR_COLUMNS])
 
@@ -352,24 +378,94 @@ def thinned(edges: DataFrame, at_once: int = 500_000) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
 
 
+class Sets:
+    """Sets of shingles by place, compared exactly."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        values, where = np.unique(flat, return_inverse=True)
+        where = where.ravel()
+        self.of = np.split(where, np.cumsum(self.size)[:-1])
+        order = np.argsort(where, kind="stable")
+        self.holders = np.repeat(np.arange(len(sets)), self.size)[order]
+        self.begins = np.searchsorted(where[order], np.arange(len(values) + 1))
+
+    def alike(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others have a similarity to set i of at least 0.8."""
+        begins, ends = self.begins[self.of[i]], self.begins[self.of[i] + 1]
+        n = ends - begins
+        at = np.repeat(begins - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(self.holders[at], minlength=len(self.size))[others]
+        return 9 * common >= 4 * (self.size[i] + self.size[others])
+
+
+def settled_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of the same group, columns node, group and shingles, that connect exactly the nodes that
+    chains of similarities of at least 0.8 connect.
+
+    All of a group are compared with its smallest node. Those alike to it need no further comparison with each other;
+    the rest are compared with them and with each other, dealt over cells of two parts of bounded size.
+    """
+    first = sets.groupBy("group").agg(F.min("node").alias("node")).join(sets.select("node", F.col("shingles").alias("_first")), "node")
+    both = sets.join(first.select("group", F.col("node").alias("leader"), "_first"), "group")
+    common, size = F.size(F.array_intersect("shingles", "_first")), F.size("shingles")
+    scored = both.select("group", "node", "leader", "shingles", size.alias("size"), (9 * common >= 4 * (size + F.size("_first"))).alias("core"))
+    scored = materialize(scored, "near-scored")
+    stars = scored.filter("core and node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    part = lambda core: F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("core") == core, F.col("size")).otherwise(0)) / F.lit(PART_SHINGLES))).cast("bigint")
+    open_groups = scored.groupBy("group").agg(part(True).alias("k"), part(False).alias("r"), F.count(F.when(~F.col("core"), 1)).alias("rest")).filter("rest > 0")
+    rows = scored.join(open_groups, "group").withColumn("own", F.pmod(F.xxhash64("node", F.lit("part")), F.when(F.col("core"), F.col("k")).otherwise(F.col("r"))))
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("bigint").alias("i"), j.cast("bigint").alias("j"))
+    over = lambda n, f: F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1), f)
+    own = F.col("own")
+    cells = F.when(F.col("core"), over("r", lambda j: cell(0, own, j))).otherwise(
+        F.concat(over("k", lambda i: cell(0, i, own)), over("r", lambda j: cell(1, F.least(own, j), F.greatest(own, j)))))
+    dealt = rows.select("group", "node", "core", "shingles", F.explode(cells).alias("cell")).select("group", "cell.*", "node", "core", "shingles")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        node, core = table.column("node").to_numpy(), table.column("core").to_numpy(zero_copy_only=False)
+        own = Sets([x.values.to_numpy() for x in table.column("shingles")])
+        front = np.flatnonzero(core)
+        # members of the core are linked already, so those of a part are as one; the rest meets in cells of its own
+        a, b = spanning(len(node), own.alike, front, once=True) if len(front) else spanning(len(node), own.alike)
+        return pa.table({"a": node[a], "b": node[b]})
+
+    return stars.unionByName(dealt.groupBy("group", "kind", "i", "j").applyInArrow(run, "a bigint, b bigint"))
+
+
 def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row, all columns, of each group of near copies: the one with the smallest id (rows without id last), then the
-    smallest text key; of rows with the same id and text one stays."""
+    smallest text key; of rows with the same id and text one stays. Groups are the texts that chains of similarities of
+    at least 0.8 connect."""
     text = F.col(quoted(text_col))
     rows = docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
     def start():
         def work(texts):
-            wide = np.array([wide_fingerprint(t) for t in texts.to_pylist()], np.uint64).reshape(-1, NEAR_WORDS)
-            return [_nodes(wide).view(np.int64), *[np.ascontiguousarray(wide[:, k]).view(np.int64) for k in range(NEAR_WORDS)]]
+            sets = [shingle_hashes(t) for t in texts.to_pylist()]
+            wide = np.array([wide_print(s) for s in sets], np.uint64).reshape(-1, NEAR_WORDS)
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
+            return [node.view(np.int64), _nodes(wide).view(np.int64), *[np.ascontiguousarray(wide[:, k]).view(np.int64) for k in range(NEAR_WORDS)]]
 
         return work
 
-    prints = materialize(map_rows(rows, ["doc_id", "key"], ["text"], [(c, "bigint") for c in ("node", *NEAR_COLUMNS)], start), "wide")
+    def sets_of():
+        return lambda texts: [[shingle_hashes(t).view(np.int64) for t in texts.to_pylist()]]
+
+    prints = materialize(map_rows(rows, ["doc_id", "key"], ["text"], [(c, "bigint") for c in ("node", "print", *NEAR_COLUMNS)], start), "wide")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
-    distinct = prints.groupBy("node", *NEAR_COLUMNS).agg(least)
-    roots = components(thinned(materialize(near_links(distinct), "near-links")), "near")
-    rooted = distinct.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    distinct = prints.groupBy("node", "print").agg(least)
+    candidates = components(thinned(materialize(near_links(prints.select(*NEAR_COLUMNS).distinct()), "near-links")), "near")
+    grouped = distinct.join(candidates.select(F.col("node").alias("print"), "root"), "print", "left").select("node", "least", F.coalesce("root", "print").alias("group"))
+    grouped = materialize(grouped, "near-groups")
+    several = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")
+    asked = grouped.join(several, "group").select("node", "group", F.col("least.doc_id").alias("_id"), F.col("least.key").alias("_key"))
+    texts = rows.join(asked, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["key"] == F.col("_key")), "inner").select("node", "group", "text").dropDuplicates(["node"])
+    sets = materialize(map_rows(texts, ["node", "group"], ["text"], [("shingles", "array<bigint>")], sets_of), "near-sets")
+    roots = components(thinned(materialize(settled_links(sets), "near-settled")), "near")
+    rooted = grouped.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("f")).select(F.col("f.doc_id").alias("_first_id"), F.col("f.key").alias("_first_key")).distinct()
     return _only(docs, first, id_col, text_col)
 

@@ -310,3 +310,53 @@ def test_chains_in_lists_of_any_length(size):
     wide[2] = flip(wide[1], range(step, 2 * step))
     a, b = simhash.near_list_links(np.zeros(size, np.uint64), wide)
     assert {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)} == {frozenset((0, 1)), frozenset((1, 2))}
+
+
+def exact_near(texts):
+    """Smallest ids of the groups that five-word similarities of at least 0.8 connect, by all pairs of the texts."""
+    sets, root = [shingles(t) for _, t in texts], list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, one in enumerate(sets):
+        for j in range(i):
+            both = len(one & sets[j])
+            if both * 9 >= 4 * (len(one) + len(sets[j])):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    groups = {}
+    for k, (i, _) in enumerate(texts):
+        groups.setdefault(top(k), []).append(i)
+    return {min(g) for g in groups.values()}
+
+
+@pytest.mark.parametrize("part_shingles", [simhash.PART_SHINGLES, 2_000])
+def test_near_copies_by_exact_similarity(spark, monkeypatch, part_shingles):
+    """Pairs just above and below 0.8, and a chain of some hundred near copies whose ends are unlike each other."""
+    monkeypatch.setattr(simhash, "PART_SHINGLES", part_shingles)
+    random.seed(11)
+    vocabulary, rows = [f"w{k}" for k in range(3000)], []
+    for g in range(120):
+        # n shingles, of which the copy, cut and continued, shares all but x: similarity (n - x) / (n + x)
+        n = 200 + g
+        x = next(x for x in range(n) if 9 * (n - x) < 8 * n) - (g % 2)
+        base = random.choices(vocabulary, k=n + 4)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[x:] + random.choices(vocabulary, k=x)))]
+    stream = random.choices(vocabulary, k=4_000)
+    chain = [" ".join(stream[12 * k : 12 * k + 204]) for k in range(300)]
+    random.shuffle(chain)
+    rows += [(1000 + k, t) for k, t in enumerate(chain)]
+    want = exact_near(rows)
+    assert len([i for i in want if i < 1000]) == 180 and len([i for i in want if i >= 1000]) == 1
+    got = {r.doc_id for r in simhash.near_representatives(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert want <= got  # nothing but near copies goes
+    assert len(got - want) <= 1  # candidates are found almost surely
+
+
+def test_near_copies_of_the_table_by_exact_similarity(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    got = {r.doc_id for r in simhash.near_representatives(docs).collect()}
+    assert got == exact_near([(r.doc_id, r.text) for r in docs.collect()])
