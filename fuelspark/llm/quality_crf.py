@@ -8,8 +8,9 @@ logistic curve to the text's score.
 
 Labels are of texts, not of lines. Fitting starts from lines that carry the label of their text, and then relabels
 the lines of bad texts by their probabilities under the model so far, in which every bad text keeps at least its worst
-line as bad. It sees at most about ``SAMPLE_LABELS`` labelled texts, chosen by hash of the id, and of a longer text
-its lines as runs of ``RUN_LINES``: both are documented bounds on what the model is fitted on. Scoring reads whole texts.
+line as bad. It sees at most about ``SAMPLE_LABELS`` labelled texts, chosen by hash of the id, which is a documented bound
+on what the model is fitted on, and all lines of these. The weights are fitted on runs of ``RUN_LINES`` lines, so a
+longer text is several chains there; relabelling, the curve and scoring take whole texts.
 
 Defined results: null and empty texts are one empty line; several labels of a document count as the smallest; null
 labels don't count; without labels of both kinds every text scores 0.
@@ -202,19 +203,20 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     def start():
         def work(texts):
             values, size, begins = measures(texts.to_pylist())
-            cut = [(s, min(e, s + RUN_LINES)) for s, e in zip(begins[:-1], begins[1:], strict=True)]
-            return [[values[s:e].ravel().tolist() for s, e in cut], [size[s:e].tolist() for s, e in cut]]
+            spans = list(zip(begins[:-1], begins[1:], strict=True))
+            return [[x[s:e].astype("<f4").tobytes() for s, e in spans] for x in (values, size)]
 
         return work
 
-    taken = map_rows(rows, ["label"], ["text"], [("values", "array<float>"), ("sizes", "array<float>")], start).collect()
+    taken = map_rows(rows, ["label"], ["text"], [("values", "binary"), ("sizes", "binary")], start).collect()
     label = np.array([r["label"] > 0 for r in taken], np.int64)
     if not len(label) or label.min() == label.max():
         return empty
-    values = np.concatenate([np.array(r["values"]).reshape(-1, len(MEASURES)) for r in taken])
-    size = np.concatenate([np.array(r["sizes"]) for r in taken])
-    counts = np.array([len(r["sizes"]) for r in taken])
+    values = np.concatenate([np.frombuffer(r["values"], "<f4").reshape(-1, len(MEASURES)) for r in taken]).astype(float)
+    sizes = [np.frombuffer(r["sizes"], "<f4") for r in taken]
+    size, counts = np.concatenate(sizes).astype(float), np.array([len(x) for x in sizes])
     begins = np.append(0, np.cumsum(counts))
+    runs = np.append(np.concatenate([np.arange(s, e, RUN_LINES) for s, e in zip(begins[:-1], begins[1:], strict=True)]), begins[-1])
     model = empty
     for m in range(len(MEASURES)):
         column = values[:, m]
@@ -226,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     # both kinds of texts weigh alike, and a text as much as another whatever its length, within a square root
     balance = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean())) / np.sqrt(counts)
     for turn in range(ROUNDS):
-        _fit_crf(model, bins, begins, target, balance[of])
+        _fit_crf(model, bins, runs, target, balance[of])
         good, _ = model.marginals(model.potentials(bins, begins), begins)
         if turn < ROUNDS - 1:
             worst = np.minimum.reduceat(good, begins[:-1])

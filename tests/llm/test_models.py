@@ -196,3 +196,15 @@ def test_line_probabilities(spark):
     model = quality_crf.fit(docs, labels)
     rows = quality_crf.line_probabilities(docs, model, ["doc_id", "text"]).limit(50).collect()
     assert all(len(r.line_scores) == r.text.count("\n") + 1 and all(0 <= p <= 1 for p in r.line_scores) for r in rows)
+
+
+def test_fitting_reads_long_texts_to_their_end(spark):
+    """Bad texts that turn to junk behind the first run of lines: junk must score below good lines."""
+    good, junk = "A plain sentence of the text ends here.", "||| BUY !!! $$$ 99 ### BUY BUY !!!"
+    n = quality_crf.RUN_LINES
+    rows = [(i, "\n".join([good] * n + ([junk] if i % 2 else [good]) * n)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id bigint, quality int")
+    model = quality_crf.fit(docs, labels)
+    a, b = model.score([good, rows[1][1]])
+    assert a > 0.9 and b < 0.1
