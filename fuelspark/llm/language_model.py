@@ -1,13 +1,15 @@
 """Language-model scoring with a log-frequency Bloom filter (operator 5).
 
-A bigram's training count is quantised to a level (1 + the logarithm of count / MIN_COUNT), and the filter holds the
+A bigram's training count is quantised to a level (1 + the logarithm of the count), and the filter holds the
 bigram once per level up to its own. Probing level after level until the first miss gives the level back, never too low,
 rarely too high. With q the mean count of the level,
 
-    P(w | v) = LAMBDA * q(v, w) / c(v) + (1 - LAMBDA * kept) * P(w)
+    P(w | v) = LAMBDA * q(v, w) / c(v) + (1 - LAMBDA) * P(w), or P(w) if c(v) = 0
 
-where ``kept`` is the share of all training bigrams that the filter holds, c the word counts and P(w) their additive
-smoothing. The word before the first and after the last one is the end token.
+where c are the word counts and P(w) their additive smoothing. The filter holds every training bigram, so the bigrams of a
+context add up to its count and its probabilities to about 1: levels round counts, and the filter's false positives add
+some to contexts that are rare against the number of words. The word before the first and after the last one is the end
+token.
 
 Work is laid out by chunks, a few megabytes of text each, written once to the shared folder as word numbers and 64-bit
 keys of their distinct words. Word and bigram counts meet by key range: a chunk sends one packed, pre-aggregated piece
@@ -36,7 +38,7 @@ CHUNK_BYTES = 16_000_000
 RANGE_TOKENS = 2_000_000
 ALPHA = 0.1
 LAMBDA = 0.5
-MIN_COUNT = 3
+MIN_COUNT = 1  # counts from here on have a level: all
 LEVEL_BASE = 1.5
 PROBES = 6
 BITS_PER_ENTRY = 9
@@ -231,9 +233,7 @@ def bigram_filter(chunks: DataFrame, shift: int) -> DataFrame:
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         cuts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-        keys, counts = keys[cuts], np.add.reduceat(counts, cuts)
-        often = counts >= MIN_COUNT
-        keys, counts = keys[often], counts[often].astype(np.int64)
+        keys, counts = keys[cuts], np.add.reduceat(counts, cuts).astype(np.int64)
         size, bits = build_part(keys, counts)
         levels = levels_of(counts) if len(counts) else np.zeros(0, np.int64)
         return pa.table({"range": table.column("range")[:1], "size": pa.array([size], pa.int64()), "bits": pa.array([bits], pa.binary()),
@@ -257,7 +257,6 @@ def scores(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_co
         {r["pos"]: r["s"] for r in parts.select(F.posexplode(c)).groupBy("pos").agg(F.sum("col").alias("s")).collect()} for c in ("level_n", "level_sum"))
     top = max(level_n, default=0)
     value = np.array([0.0] + [level_sum[j] / level_n[j] if level_n.get(j) else 0.0 for j in range(1, top + 1)])
-    kept = sum(level_sum.values()) / train if train else 0.0
 
     blocks, filled = [[]], 0
     for r, size in sizes:
@@ -272,14 +271,14 @@ def scores(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_co
         held = [rows[r] for r in ranges]
         own = set(range(1 << (64 - shift))) - {r for b in blocks[1:] for r in b} if number == 0 else set(ranges)
         shared = spark.sparkContext.broadcast(Filter(shift, ranges, [r["size"] for r in held], [r["bits"] for r in held], top, own))
-        one = _score_block(chunks, counts, shared, value, kept, train, distinct)
+        one = _score_block(chunks, counts, shared, value, train, distinct)
         found = one if found is None else found.unionByName(one)
     if len(blocks) > 1:
         found = found.groupBy("_row", "doc_id", "held_out", "n_tokens", "n_known", "base_score").agg(F.sum("score").alias("score"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
-def _score_block(chunks: DataFrame, counts: DataFrame, shared, value: np.ndarray, kept: float, train: int, distinct: int) -> DataFrame:
+def _score_block(chunks: DataFrame, counts: DataFrame, shared, value: np.ndarray, train: int, distinct: int) -> DataFrame:
     """Sums over the tokens whose bigram belongs to the ranges of this block, which takes those of ranges without any
     bigram if it is the first."""
     def score(own: pa.Table, counted: pa.Table) -> pa.Table:
@@ -299,10 +298,9 @@ def _score_block(chunks: DataFrame, counts: DataFrame, shared, value: np.ndarray
                 before = np.append(0, own[:-1])
                 pairs = pair_keys(keys[before], keys[own])
                 level = shared.value.levels(pairs)
-                p = (1 - LAMBDA * kept) * base[own]
-                hit = np.flatnonzero(level)
-                seen = c[before[hit]]
-                p[hit] += LAMBDA * np.minimum(value[level[hit]] / np.maximum(seen, 1), 1.0) * (seen > 0)
+                seen = c[before]
+                weight = np.where(seen > 0, LAMBDA, 0.0)
+                p = (1 - weight) * base[own] + weight * np.minimum(value[level] / np.maximum(seen, 1), 1.0)
                 logs = np.log10(p)
                 if not shared.value.all_here:
                     logs[~shared.value.mine[shared.value.range_of(pairs)]] = 0.0

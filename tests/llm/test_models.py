@@ -208,3 +208,19 @@ def test_fitting_reads_long_texts_to_their_end(spark):
     model = quality_crf.fit(docs, labels)
     a, b = model.score([good, rows[1][1]])
     assert a > 0.9 and b < 0.1
+
+
+def test_probabilities_of_a_context_add_up(spark):
+    """For a context of nothing but single bigrams, one of a repeated bigram, and one never seen in training."""
+    texts = {k: f"s a x{k} b c" for k in range(40)}
+    words = ["s", "a", "b", "c", *[f"x{k}" for k in range(40)]]
+    asked = ["", *words, "new"] + [f"{v} {w}" for v in ("a", "b", "new") for w in words if w != "s"]
+    rows = [*texts.items(), *[(1000 + k, t) for k, t in enumerate(asked)]]
+    got = {r.doc_id: r for r in language_model.scores(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") < 1000).collect()}
+    score = {t: got[1000 + k].score for k, t in enumerate(asked)}
+    base = {t: 10 ** (got[1000 + k].base_score - got[1000].base_score) for k, t in enumerate(asked) if t and " " not in t}
+    first = {w: 0.5 * base[w] for w in base}  # the end token is a seen context, and nothing but s follows it
+    last = {w: 10 ** score[w] / first[w] for w in base if w != "s"}
+    for v, single in (("a", 0.5), ("b", 0.5), ("new", 1.0)):
+        p = [10 ** score[f"{v} {w}"] / first[v] / last[w] for w in words if w != "s"]
+        assert sum(p) + last[v] + single * (base["s"] + base["new"]) == pytest.approx(1, abs=0.03)
