@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fuelspark.llm import bpe, decontamination, language_id, language_model, line_dedup, neighbours, quality_crf, simhash, token_output, toxicity
+from fuelspark.llm import bpe, conversations, decontamination, language_id, language_model, line_dedup, neighbours, quality_crf, simhash, token_output, toxicity
 from fuelspark.llm.rows import crc_remainder
 from fuelspark.operators.scale import scratch_path
 
@@ -94,6 +94,14 @@ def op6_quality_crf(spark, sf_dir):
     return quality_crf.score(docs, quality_crf.fit(docs, labels), ["doc_id", "held_out"])
 
 
+@query
+def op11_conversation_repair(spark, sf_dir):
+    return conversations.repaired_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLE["op11_conversation_repair"] = conversations.ORACLE_SQL
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
