@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fuelspark.llm import bpe, conversations, decontamination, language_id, language_model, line_dedup, neighbours, quality_crf, simhash, token_output, toxicity
+from fuelspark.llm import bpe, centroids, conversations, decontamination, language_id, language_model, line_dedup, neighbours, quality_crf, simhash, token_output, toxicity
 from fuelspark.llm.rows import crc_remainder
 from fuelspark.operators.scale import scratch_path
 
@@ -102,6 +102,14 @@ def op11_conversation_repair(spark, sf_dir):
 ORACLE["op11_conversation_repair"] = conversations.ORACLE_SQL
 
 
+@query
+def op12_centroid_clustering(spark, sf_dir):
+    return centroids.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE["op12_centroid_clustering"] = centroids.ORACLE_SQL
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
