@@ -1,6 +1,6 @@
 """Centroid clustering over an incremental distance matrix (operator 12).
 
-Vectors are integers: the floor of ``SCALE`` times each component. A table holds, for every vector, its exact dot product
+Vectors are integers: the floor of 256 times each component. A table holds, for every vector, its exact dot product
 with every centroid. A round changes a centroid in some components only, and later rounds in few: the change of a dot
 product is the vector's product with these differences, so a round reads the table, adds the products over the components
 that changed, and takes the argmin of |v|² - 2 v·c + |c|² anew. The first round is the change from centroids of zeros.
@@ -15,9 +15,9 @@ only. The table two rounds back is deleted: two stay on disk.
 
 Defined results: vectors take part that have exactly ``dimensions`` components, none null or non-finite, and none of
 2**26 or more after scaling, where distances would leave the range of a long; an inertia beyond that range is null; equal
-distances go to the smaller number;
-an empty cluster keeps its centroid; fewer vectors than ``k`` make as many clusters; a null id is hashed as '' and stays
-null; rows with the same id count as one vector each, in the order of their components where hashes tie.
+distances go to the smaller number; an empty cluster keeps its centroid; fewer vectors than ``k`` make as many clusters; a
+null id is hashed as '' and stays null; rows with the same id count as one vector each, in the order of their components
+where hashes tie.
 """
 
 import hashlib
@@ -26,43 +26,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fuelspark.llm.rows import quoted
+from fuelspark.llm.integer_vectors import integers, matrix, products
 from fuelspark.operators.scale import scratch_path
 
-SCALE = 256
-LARGEST = 1 << 26
 CENTROIDS = 40
 ROUNDS = 5
 DIMENSIONS = 64
-# Products stay exact in double precision up to here; beyond it they are computed in 64-bit integers.
-EXACT = 1 << 52
 STATE = "id bigint, v array<int>, square bigint, dots array<bigint>, before int, cluster int, distance bigint"
 
 
-def integers(df: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
-    """Id and integer vector of the rows without null, non-finite or too large components."""
-    rows = df.select(F.col(quoted(id_col)).cast("bigint").alias("id"), F.col(quoted(vector_col)).cast("array<double>").alias("x"))
-    usable = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (c * scale < LARGEST) & (c * scale > -LARGEST))
-    return rows.filter(F.col("x").isNotNull() & usable).select("id", F.transform("x", lambda c: F.floor(c * scale).cast("int")).alias("v"))
-
-
-def matrix(column: pa.Array | pa.ChunkedArray, rows: int, dtype=np.int64) -> np.ndarray:
-    return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(rows, -1)
-
-
-def products(vectors: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Exact integer products of all rows of the first with all rows of the second."""
-    if not len(vectors) or not len(others):
-        return np.zeros((len(vectors), len(others)), np.int64)
-    bound = int(np.abs(vectors).max(initial=0)) * int(np.abs(others).max(initial=0)) * vectors.shape[1]
-    if bound <= EXACT:
-        return (vectors.astype(np.float64) @ others.T.astype(np.float64)).astype(np.int64)
-    return vectors @ others.T
-
-
 @dataclass
 class Change:
     """Differences of centroids: the components that changed in any of them, and |c|² of the new ones."""

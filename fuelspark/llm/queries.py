@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fuelspark.llm import bpe, centroids, conversations, decontamination, language_id, language_model, line_dedup, neighbours, quality_crf, simhash, token_output, toxicity
+from fuelspark.llm import bpe, centroids, conversations, decontamination, language_id, language_model, line_dedup, metric_tree, neighbours, quality_crf, simhash, token_output, toxicity
 from fuelspark.llm.rows import crc_remainder
 from fuelspark.operators.scale import scratch_path
 
@@ -110,6 +110,14 @@ def op12_centroid_clustering(spark, sf_dir):
 ORACLE["op12_centroid_clustering"] = centroids.ORACLE_SQL
 
 
+@query
+def op13_exact_search(spark, sf_dir):
+    return metric_tree.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda vec_id: vec_id % 50 == 0)
+
+
+ORACLE["op13_exact_search"] = metric_tree.ORACLE_SQL
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
