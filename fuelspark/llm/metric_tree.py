@@ -38,7 +38,7 @@ from fuelspark.operators.scale import materialize
 NEIGHBOURS = 5
 # Vectors that a shard holds about, entries of a page, and pivots at most.
 SHARD_VECTORS = 20_000
-PAGE_ENTRIES = 128
+PAGE_ENTRIES = 256
 PIVOTS = 1_024
 # Vectors of the sample that pivots and first bounds come from, and queries that are broadcast at once.
 SAMPLE_VECTORS = 4_096
