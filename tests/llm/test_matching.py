@@ -153,27 +153,6 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
 
 
-def expected_near(texts):
-    """Smallest ids of the groups that links between wide fingerprints make, by all pairs."""
-    wide = np.array([simhash.wide_fingerprint(t) for _, t in texts], np.uint64)
-    keys, root = simhash.triple_keys(wide), list(range(len(texts)))
-
-    def top(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(texts)):
-        near = (np.bitwise_count(wide ^ wide[i]).sum(axis=1) <= simhash.NEAR_BITS) & (keys == keys[i]).any(axis=1)
-        for j in np.flatnonzero(near):
-            a, b = top(i), top(int(j))
-            root[max(a, b)] = min(a, b)
-    groups = {}
-    for k, (i, _) in enumerate(texts):
-        groups.setdefault(top(k), []).append(i)
-    return {min(g) for g in groups.values()}
-
-
 def test_near_copies_are_found_and_others_left(spark):
     random.seed(4)
     vocabulary = [f"w{k}" for k in range(5000)]

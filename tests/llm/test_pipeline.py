@@ -3,7 +3,7 @@
 import corpus_pipeline
 import pytest
 from tests.conftest import SF_SMALL
-from tests.llm.test_matching import contaminated, expected_near
+from tests.llm.test_matching import contaminated, exact_near
 
 from fuelspark.llm.queries import QUERIES
 
@@ -19,7 +19,7 @@ def test_stages_on_their_own_input(spark):
 
     kept = stages["SimHash near-dedup"](spark, docs, SF_SMALL)
     assert kept.columns == COLUMNS
-    assert {r.doc_id for r in kept.collect()} == expected_near(texts)
+    assert {r.doc_id for r in kept.collect()} == exact_near(texts)
 
     clean = stages["benchmark decontamination"](spark, docs, SF_SMALL)
     assert {r.doc_id for r in clean.collect()} == {r[0] for r in contaminated(texts, items) if not r[5]}
