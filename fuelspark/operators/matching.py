@@ -15,7 +15,7 @@ from fuelspark.functions.fuzzy import address_similarity_udf, name_similarity_ud
 from fuelspark.functions.geo import geohash_cell, has_valid_point, haversine_km
 from fuelspark.functions.lookups import AUTO_MATCH, NEUTRAL, REVIEW_MIN, SOURCE_RANK, SOURCE_RELIABILITY, WEIGHTS
 from fuelspark.functions.numeric import clamp01, js_round, round4
-from fuelspark.operators.scale import HOT_ROWS, cut_lineage, salted_pairs
+from fuelspark.operators.scale import HOT_ROWS, cut_lineage, materialize, salted_pairs
 
 SCORED_FIELDS = ["id", "source", "lat", "lng", "name_key", "norm_brand", "addr_key", "block", "cell_x", "cell_y"]
 
@@ -111,11 +111,14 @@ _RING = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)]
 
 
 def _meet(left: DataFrame, right: DataFrame, keys: dict[str, tuple[Column, Column]], hot_rows: int) -> DataFrame:
-    """Salted equi-join of two sets of records as structs ``x`` and ``y`` on the given key expressions."""
-    record = F.struct(*SCORED_FIELDS)
+    """Salted equi-join of two sets of records as structs ``x`` and ``y`` on the given key expressions; where records carry
+    ``changed``, pairs without a changed one are left out."""
+    marked = "changed" in left.columns
+    record = F.struct(*SCORED_FIELDS, *(["changed"] if marked else []))
     x = left.select(record.alias("x"), *[k[0].alias(n) for n, k in keys.items()])
     y = right.select(record.alias("y"), *[k[1].alias(n) for n, k in keys.items()])
-    return salted_pairs(x, y, list(keys), "x.id", hot_rows).filter("x.source <> y.source")
+    met = salted_pairs(x, y, list(keys), "x.id", hot_rows).filter("x.source <> y.source")
+    return met.filter("x.changed or y.changed") if marked else met
 
 
 def _as_pairs(met: DataFrame, first: Column, second: Column, prune: bool) -> DataFrame:
@@ -225,22 +228,18 @@ def changed_pairs(keys: DataFrame, changed: DataFrame, prune: bool = True, hot_r
     """Candidate pairs with at least one changed record.
 
     Unchanged records that share no block or cell neighbourhood with a changed one are dropped before
-    the self-join.
+    the self-join. What is left is written aside, as every side of the joins starts from it.
     """
     hit = keys.join(changed.select("id").distinct().withColumn("_changed", F.lit(True)), "id", "left")
-    touched = hit.filter("_changed")
+    hit = hit.withColumn("changed", F.coalesce("_changed", F.lit(False))).drop("_changed")
+    touched = hit.filter("changed")
     blocks = touched.select("block").filter("block is not null").distinct()
     cells = _around(touched.filter("cell_x is not null"), "cell_x", "cell_y").select(
         F.col("_nx").alias("cell_x"), F.col("_ny").alias("cell_y")).distinct()
     near = hit.join(cells, ["cell_x", "cell_y"], "left_semi").select(*hit.columns)
     same = hit.join(blocks, "block", "left_semi").select(*hit.columns)
-    scope = near.unionByName(same).dropDuplicates(["id"])
-    flags = scope.filter("_changed").select("id")
-    pairs = candidate_pairs(scope.drop("_changed"), prune, hot_rows)
-    one = flags.select(F.col("id").alias("id_a"), F.lit(True).alias("_ca"))
-    two = flags.select(F.col("id").alias("id_b"), F.lit(True).alias("_cb"))
-    marked = pairs.join(one, "id_a", "left").join(two, "id_b", "left")
-    return marked.filter("_ca or _cb").drop("_ca", "_cb")
+    scope = materialize(near.unionByName(same).dropDuplicates(["id"]), "scope")
+    return candidate_pairs(scope, prune, hot_rows)
 
 
 # --- decisions --------------------------------------------------------------------------------------

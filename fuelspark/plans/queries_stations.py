@@ -13,6 +13,12 @@ from fuelspark.plans.sqlviews import comparison, geohash as geohash_sql, hav, jr
 
 AS_OF = b.AS_OF
 
+
+def number_of(column):
+    """The number in a record's id."""
+    return F.substring_index(column, "_", -1).cast("bigint")
+
+
 # --- conforming -------------------------------------------------------------------------------------
 
 
