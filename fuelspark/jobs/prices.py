@@ -19,7 +19,7 @@ KEYS = ["id", "fuel"]
 SCHEMAS = {
     "snapshots": "id bigint, fuel string, price double, date date",
     "changes": "id bigint, fuel string, previous_date date, previous double, price double, direction string, date date",
-    "statistics": "fuel string, date date",
+    "statistics": "fuel string, min double, max double, avg double, p10 double, p25 double, median double, p75 double, p90 double, std_dev double, count bigint, date date",
 }
 
 
@@ -80,4 +80,4 @@ def read(store: Store, name: str) -> DataFrame:
     path, files = store.folder(table(store, name))
     if not files.exists(path):
         return store.spark.createDataFrame([], SCHEMAS[name])
-    return zones.read_snapshots(store.spark, table(store, name))
+    return store.spark.read.schema(SCHEMAS[name]).parquet(table(store, name))
