@@ -12,6 +12,8 @@ from fuelspark.sources import exports, landed, zones
 from fuelspark.streaming import jobs
 
 AS_OF = b.AS_OF
+# Stations that one imported snapshot line holds at most.
+STATIONS_A_FILE = 5_000
 
 
 def number():
@@ -141,7 +143,9 @@ def snapshot_import(spark, d):
     k = F.col("c_custkey")
     station = F.struct(F.when(k % 7 != 0, F.concat((k % 12).cast("string"), F.lit("-"), k)).alias("id"), F.struct(F.lit(20.0).alias("regular")).alias("prices"))
     date = F.when(F.col("day") == 3, "3/1/24").when(F.col("day") != 5, F.concat(F.lit("2024-01-"), F.lpad((F.col("day") + 1).cast("string"), 2, "0")))
-    files = b.table(spark, d, "customer").groupBy((k % 12).alias("day")).agg(F.collect_list(station).alias("stations")).select(date.alias("date"), "day", "stations")
+    # a day comes in as many files of bounded size as its stations ask for
+    dealt = b.table(spark, d, "customer").select(station.alias("station"), (k % 12).alias("day"), F.floor(k / (12 * STATIONS_A_FILE)).alias("part"))
+    files = dealt.groupBy("day", "part").agg(F.collect_list("station").alias("stations")).select(date.alias("date"), "day", "stations")
     files.select("date", "stations").write.json(path)
     spark.range(1).select(F.lit("2024-02-01").alias("date"), F.array().cast("array<struct<id:string>>").alias("stations")).write.mode("append").json(path)
     good, bad = zones.import_snapshots(spark, path)
@@ -217,11 +221,11 @@ def report_stream(spark, d):
 
 
 def snapshot_stream(spark, d):
-    """Daily snapshots landed as files, streamed a few files at a time in order of date."""
+    """Daily snapshots landed as files. A date may span files, so all that have landed make one batch."""
     path = scratch_path(spark, "landed-snapshots")
-    snapshots(spark, d).repartitionByRange(4, "date").sortWithinPartitions("date").write.parquet(path)
+    snapshots(spark, d).repartitionByRange("date", "id").sortWithinPartitions("date").write.parquet(path)
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(path)
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def accepted_reports(spark, d):
