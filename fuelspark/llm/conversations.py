@@ -7,7 +7,8 @@ are the least in ASCII order.
 
 The best path to each state of the grammar survives a row. Survivors are leaves of a tree of edits that point back to the
 row before; nodes count their children, a node without any is freed, and once the root has a single child all survivors
-share it, so its edits are final and go out. Memory thus follows the unresolved rows and not the conversation. Paths of
+share it, so its edits are final and go out. Memory thus follows the unresolved rows and not the conversation; where many stay
+unresolved, as rows that fit no role can, it holds some bytes of each and their texts wait in a file of the task. Paths of
 equal cost are compared by their whole unresolved suffixes: survivors are held in the order of these, and as every suffix
 ends with the edit of the row just read, none is the beginning of another, so the order of two extended suffixes is that
 of their parents and then that of the letters they add. Survivors that another one beats whatever follows are dropped.
@@ -22,6 +23,9 @@ rows with a null conversation are one conversation; an empty table gives no rows
 """
 
 import hashlib
+import pickle
+import tempfile
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -46,6 +50,11 @@ BEHIND = {
 EDITS = {"K": "Keep", "R": "Rerole", "D": "Delete", "I": "Insert"}
 # Rows of a conversation up to which one task tells repeated rows.
 SEEN_ROWS = 100_000
+# Bytes of unresolved rows that a task holds in memory.
+PENDING_BYTES = 16_000_000
+# What a step can add to a path.
+LETTERS = ["", *["I" * inserts + letter for inserts in range(3) for letter in "DKR"]]
+CODES = {letters: code for code, letters in enumerate(LETTERS)}
 # Rows and bytes of text that a batch of output holds.
 BATCH_ROWS, BATCH_BYTES = 10_000, 4_000_000
 FIELDS = "seq bigint, turn bigint, edit string, fault string, cost int, was string, role string, text string"
@@ -83,24 +92,62 @@ def step(survivors: tuple[tuple[str, int], ...], initial: str, must_go: bool, tr
     return tuple((s, alive[s][0] - least) for s in order), [alive[s][1:] for s in order]
 
 
+class Pending:
+    """Rows that wait for their edits, first in, first out. Beyond a number of bytes they wait in a file of the task, which
+    is gone with it, as do the rows that Spark sorts."""
+
+    def __init__(self):
+        self.held: deque = deque()
+        self.bytes = self.stored = self.read_at = self.write_at = 0
+        self.file = None
+
+    def __len__(self) -> int:
+        return len(self.held) + self.stored
+
+    def append(self, row: tuple) -> None:
+        size = len(row[2]) + 100
+        if not self.stored and self.bytes + size <= PENDING_BYTES:
+            self.held.append(row)
+            self.bytes += size
+            return
+        self.file = self.file or tempfile.TemporaryFile()
+        self.file.seek(self.write_at)
+        pickle.dump(row, self.file)
+        self.write_at, self.stored = self.file.tell(), self.stored + 1
+
+    def popleft(self) -> tuple:
+        if self.held:
+            row = self.held.popleft()
+            self.bytes -= len(row[2]) + 100
+            return row
+        self.file.seek(self.read_at)
+        row = pickle.load(self.file)
+        self.read_at, self.stored = self.file.tell(), self.stored - 1
+        if not self.stored:
+            self.read_at = self.write_at = 0
+            self.file.truncate(0)
+        return row
+
+
 class Repair:
-    """One conversation: rows go in by ``add``, final edits come out of ``ready``, the last ones after ``finish``."""
+    """One conversation: a row goes in by ``add``, final edits come to ``ready`` by ``settle``, the last ones by ``finish``."""
 
     def __init__(self):
         self.survivors: tuple[tuple[str, int], ...] = ((START, 0),)
         self.leaves, self.root, self.free = [0], 0, []
-        self.parent, self.children, self.child_sum, self.letters = [-1], [0], [0], [""]
-        self.rows: deque = deque()
+        # nodes of the tree, some bytes each: they may be as many as the rows where nothing resolves
+        self.parent, self.children, self.child_sum, self.codes = array("q", [-1]), array("b", [0]), array("q", [0]), array("b", [0])
+        self.rows = Pending()
         self.ready: list[tuple] = []
         self.state, self.seq = START, 0
 
     def _node(self, parent: int, letters: str) -> int:
         if self.free:
             node = self.free.pop()
-            self.parent[node], self.children[node], self.child_sum[node], self.letters[node] = parent, 0, 0, letters
+            self.parent[node], self.children[node], self.child_sum[node], self.codes[node] = parent, 0, 0, CODES[letters]
         else:
             node = len(self.parent)
-            self.parent.append(parent), self.children.append(0), self.child_sum.append(0), self.letters.append(letters)
+            self.parent.append(parent), self.children.append(0), self.child_sum.append(0), self.codes.append(CODES[letters])
         self.children[parent] += 1
         self.child_sum[parent] += node
         return node
@@ -140,23 +187,30 @@ class Repair:
         old, self.leaves = self.leaves, [self._node(self.leaves[place], letters) for place, letters in came]
         for leaf in old:
             self._release(leaf)
-        while self.children[self.root] == 1:  # coalesced: all survivors share the only child
+
+    def settle(self) -> Iterator[None]:
+        """Edits that all survivors share, those of one row at a time."""
+        while self.children[self.root] == 1:  # coalesced: the only child is on every survivor's path
             child = self.child_sum[self.root]
             self.free.append(self.root)
             self.root = child
-            self._resolve(self.letters[child])
+            self._resolve(LETTERS[self.codes[child]])
+            yield
 
-    def finish(self) -> None:
+    def finish(self) -> Iterator[None]:
+        """The edits that are left, those of one row at a time."""
         closing = {"E": 0, "A": 0, "U": 1, "S": 2}
         _, place, inserts = min((cost + INSERT * closing[state], place, closing[state]) for place, (state, cost) in enumerate(self.survivors))
-        path, node = [], self.leaves[place]
+        path, node = array("b"), self.leaves[place]
         while node != self.root:
-            path.append(self.letters[node])
+            path.append(self.codes[node])
             node = self.parent[node]
-        for letters in reversed(path):
-            self._resolve(letters)
+        for code in reversed(path):
+            self._resolve(LETTERS[code])
+            yield
         for _ in range(inserts):
             self._out("I", None)
+        yield
 
 
 def _stream(batches: Iterator[pa.RecordBatch], key_type: pa.DataType, fields: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -176,13 +230,21 @@ def _stream(batches: Iterator[pa.RecordBatch], key_type: pa.DataType, fields: pa
         arrays = [pa.array(keys, key_type), *[pa.array(c, f.type) for c, f in zip(columns, list(fields)[1:], strict=True)]]
         return pa.RecordBatch.from_arrays(arrays, schema=fields)
 
+    def taken(work, key):
+        """Ready edits into the batch, which goes out when it is full."""
+        nonlocal keys, made, size
+        take(work, key)
+        if len(made) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield batch()
+            keys, made, size = [], [], 0
+
     work, current, last, seen = None, None, None, set()
     for rows in batches:
         for key, turn, role, text, again in zip(*[c.to_pylist() for c in rows.columns], strict=True):
             if work is None or key != current:
                 if work is not None:
-                    work.finish()
-                    take(work, current)
+                    for _ in work.finish():
+                        yield from taken(work, current)
                 work, current, last, seen = Repair(), key, None, set()
             if again is None:
                 digest = hashlib.blake2b(f"{len(role)}:{role}{text}".encode(), digest_size=16).digest()
@@ -191,14 +253,11 @@ def _stream(batches: Iterator[pa.RecordBatch], key_type: pa.DataType, fields: pa
             else:
                 again, last = again or (turn, role, text) == last, (turn, role, text)
             work.add(turn, role, text, again)
-            if work.ready:
-                take(work, current)
-                if len(made) >= BATCH_ROWS or size >= BATCH_BYTES:
-                    yield batch()
-                    keys, made, size = [], [], 0
+            for _ in work.settle():
+                yield from taken(work, current)
     if work is not None:
-        work.finish()
-        take(work, current)
+        for _ in work.finish():
+            yield from taken(work, current)
     if made:
         yield batch()
 

@@ -100,7 +100,8 @@ def edits_of(rows):
     for k, (role, text) in enumerate(rows):
         work.add(k, role, text, (role, text) in seen)
         seen.add((role, text))
-    work.finish()
+        list(work.settle())
+    list(work.finish())
     return work
 
 
@@ -123,11 +124,30 @@ def test_long_conversations_and_bounded_memory():
     work, most = conversations.Repair(), 0
     for k in range(50_000):
         work.add(k, rng.choice(["user", "assistant"]), rng.choice(["", f"{k}.", f"{k}"]), False)
+        list(work.settle())
         work.ready.clear()
         most = max(most, len(work.rows))
     assert most < 200 and len(work.parent) < 1000
 
 
+def test_rows_that_never_resolve_wait_outside_memory(monkeypatch):
+    monkeypatch.setattr(conversations, "PENDING_BYTES", 5_000)
+    rng = random.Random(9)
+    for head, tail in (([], []), ([("user", "a.")], [("assistant", "b.")]), ([("system", "s")], random_rows(rng, 20))):
+        rows = [*head, *[("tool", f"{k} " + "x" * (k % 90) + ".") for k in range(2_001)], *tail]
+        work, most, waiting, seen = conversations.Repair(), 0, 0, set()
+        for k, (role, text) in enumerate(rows):
+            work.add(k, role, text, (role, text) in seen)
+            seen.add((role, text))
+            most, waiting = max(most, work.rows.bytes), max(waiting, len(work.rows))
+            list(work.settle())
+        list(work.finish())
+        cost, letters = best_strings(rows)
+        assert (sum(r[4] for r in work.ready), "".join(r[2][0] for r in work.ready)) == (cost, letters)
+        assert "\n".join(f"{r[6]}:{r[7]}" for r in work.ready if r[2] != "Delete") == repaired(rows, letters)
+        assert most <= 5_000 and waiting > 1_000 and len(work.rows) == 0
+
+
 def expected(table):
     """Digests of the contract out of rows (conv_id, turn, role, text)."""
     held = {}
