@@ -5,6 +5,7 @@ function of the table dictionary and a settings object, registered by its identi
 """
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from fuelspark.functions.numeric import js_round
 from fuelspark.operators.scale import HOT_ROWS, salted_pairs
 
 Tables = dict[str, DataFrame]
+# Rules are small jobs next to the cluster, so some run side by side.
+RULES_AT_ONCE = 4
 ISSUE_SCHEMA = "rule string, severity string, master_id string, detail string, extra map<string,string>"
 
 
@@ -188,16 +191,20 @@ def run_rule(rule_id: str, tables: Tables, settings: Settings) -> DataFrame:
 
 
 def run_all(tables: Tables, settings: Settings, path: str) -> DataFrame:
-    """All rules into one issue table at ``path``. A rule that fails, be it when it is planned or while it runs, leaves
-    one row of high severity with the whole error; the others are not touched."""
+    """All rules into one issue table at ``path``, a few of them at a time. A rule that fails, be it when it is planned or
+    while it runs, leaves one row of high severity with the whole error; the others are not touched."""
     spark = next(iter(tables.values())).sparkSession
-    for r in RULES.values():
+
+    def run(r: Rule) -> None:
         target = f"{path}/rule_id={r.rule_id}"
         try:
             r.run(tables, settings).write.mode("overwrite").parquet(target)
         except Exception as error:  # noqa: BLE001 - any failure of a rule is reported as an issue
             row = (r.rule_id, "high", None, f"rule failed: {error}", {})
             spark.createDataFrame([row], ISSUE_SCHEMA).write.mode("overwrite").parquet(target)
+
+    with ThreadPoolExecutor(RULES_AT_ONCE) as pool:
+        list(pool.map(run, RULES.values()))
     return spark.read.schema(f"{ISSUE_SCHEMA}, rule_id string").parquet(path).drop("rule_id")
 
 
