@@ -57,8 +57,8 @@ _CURRENT = """SELECT 'mst_'||sha256(id_a||'|'||id_b) master_id FROM decisions WH
 query("job_01_full_decisions", _DECISIONS)(lambda s, d: full_run(s, d).read("decisions").select("id_a", "id_b", "composite", "decision"))
 query("job_01_full_masters", f"SELECT master_id, 'active' status FROM ({_CURRENT})")(lambda s, d: full_run(s, d).read("masters").select("master_id", "status"))
 query("job_02_refresh_decisions", _DECISIONS)(lambda s, d: refreshed(s, d).read("decisions").select("id_a", "id_b", "composite", "decision"))
-query("job_02_refresh_staging", "SELECT id, norm_name, norm_brand, norm_municipality, lat, fetched_at FROM conformed")(
-    lambda s, d: refreshed(s, d).read("staging").select("id", "norm_name", "norm_brand", "norm_municipality", "lat", "fetched_at"))
+query("job_02_refresh_staging", "SELECT id, norm_name, norm_brand, norm_municipality, lat, fetched_at::VARCHAR fetched_at FROM conformed")(
+    lambda s, d: refreshed(s, d).read("staging").select("id", "norm_name", "norm_brand", "norm_municipality", "lat", F.col("fetched_at").cast("string").alias("fetched_at")))
 query("job_02_refresh_active_masters", f"SELECT master_id FROM ({_CURRENT})")(lambda s, d: refreshed(s, d).read("masters").filter("status = 'active'").select("master_id"))
 query("job_03_refresh_changes", """SELECT id, CASE WHEN k%10=4 THEN 'new' ELSE 'changed' END AS "change" FROM raw_staging WHERE k%10=4 OR k%8=0 OR (k%12=5 AND lat IS NOT NULL) OR k%14=3""")(
     lambda s, d: refreshed(s, d).read("changes"))
