@@ -120,4 +120,6 @@ def nearest_brand(text: str) -> str | None:
 
 @F.pandas_udf(T.StringType())
 def nearest_brand_udf(text: pd.Series) -> pd.Series:
-    return text.map({t: nearest_brand(t) for t in text.dropna().unique()})
+    found = {t: nearest_brand(t) for t in text.dropna().unique()}
+    # plain objects: a series of pandas' own string type can reach Arrow in chunks, which a batch cannot hold
+    return pd.Series([found.get(t) if isinstance(t, str) else None for t in text], index=text.index, dtype=object)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fuelspark.functions import geo, text
-from fuelspark.functions.fuzzy import indel_ratio, partial_ratio, token_set_ratio, token_sort_ratio
+from fuelspark.functions.fuzzy import indel_ratio, nearest_brand_udf, partial_ratio, token_set_ratio, token_sort_ratio
 from fuelspark.operators import anomaly, conform, matching, scale, spatial, trends
 from fuelspark.operators.prices import sane_price
 
@@ -124,3 +124,14 @@ def test_trend_needs_three_points(spark):
     rows = [(1, f"2024-01-0{d}", "regular", 20.0 + d) for d in (1, 2)] + [(2, f"2024-01-0{d}", "regular", 20.0 + d) for d in (1, 2, 3)]
     df = spark.createDataFrame(rows, "id bigint, date string, fuel string, price double").withColumn("date", F.to_date("date"))
     assert {r.id: r.trend for r in trends.trend_direction(df, ["id", "fuel"]).collect()} == {1: "stable", 2: "rising"}
+
+
+def test_nearest_brand_in_small_batches(spark):
+    """Partitions that are empty, all null or of one text, as many partitions make them."""
+    rows = [(k, t) for k, t in enumerate(["PEMEXX", None, "PEMEX", None, None, "QQQQQQQQQ", "SHEL"])]
+    df = spark.createDataFrame(rows, "k int, t string")
+    want = {"PEMEXX": "PEMEX", "PEMEX": "PEMEX", "SHEL": "SHELL"}
+    for parts in (1, 3, 20):
+        got = df.repartition(parts, "k").select("k", "t", nearest_brand_udf("t").alias("b")).collect()
+        assert sorted((r.k, r.b) for r in got) == [(k, want.get(t)) for k, t in rows]
+    assert df.filter("k < 0").select(nearest_brand_udf("t")).count() == 0
