@@ -2,17 +2,18 @@
 
 Codes: vectors are centred and turned by rotations learned so that the signs of the turned coordinates lie close to the
 coordinates (iterative quantisation); each rotation gives one bit per dimension. A code is split into substrings of 16
-bits, and each has an index from value to vectors. If two codes of m substrings differ in at most r bits, one substring
-differs in at most r // m: probing every value that near, in every substring, retrieves every code within r bits. The
-retrieved vectors are reranked by their inner products in double precision.
+bits, and each has posting lists from value to vectors. If two codes of m substrings differ in at most r bits, one
+substring differs in at most r // m: reading the lists of every value that near, in every substring, retrieves every code
+within r bits. Only retrieved codes are compared, and only those within r are reranked, by their inner products in double
+precision.
 
 The radius is learned on the fitting sample, so that it holds ``target`` of the true neighbours there. A denser
 corpus has nearer neighbours, so the sample's radius is on the safe side.
 
 Spark's partitions of the base vectors are the shards of the index. Queries go to them in blocks of bounded size, each
 shard answers with its own k nearest, and a ranking by query merges these. Equal vectors are one entry of the index
-with the smallest ids first, so a group of copies costs its size once and no pairs. A shard with fewer than k codes
-within the radius widens its own radius to the k-th nearest code, so a query gets k results wherever k exist.
+with the smallest ids first, so a group of copies costs its size once and no pairs. A shard that finds no more than k
+codes within the radius probes the next wider one, so a query gets k results wherever k exist.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take
 no part; ties go to the smaller id; rows with the same id and vector count as one candidate per row.
@@ -35,8 +36,6 @@ SUBSTRING = 16
 TARGET = 0.985
 # Queries that go to the shards at once.
 BLOCK_QUERIES = 20_000
-# Rows of the comparisons held at a time within a task.
-QUERY_ROWS = 64
 
 
 @dataclass
@@ -84,6 +83,39 @@ def fit(sample: np.ndarray, k: int, target: float = TARGET, rotations: int = ROT
     return codes
 
 
+def wide(words: np.ndarray) -> np.ndarray:
+    """Codes as unsigned 64-bit integers, with zeros to fill the last."""
+    return np.ascontiguousarray(np.pad(words, ((0, 0), (0, -words.shape[1] % 4)))).view(np.uint64)
+
+
+class Postings:
+    """Posting lists of one substring: the vectors with value v are ``where[starts[v] : starts[v + 1]]``."""
+
+    def __init__(self, column: np.ndarray):
+        counts = np.bincount(column, minlength=1 << SUBSTRING)
+        self.where = np.argsort(column, kind="stable")
+        self.starts = np.concatenate([[0], np.cumsum(counts)])
+        self.values = np.flatnonzero(counts).astype(np.uint16)
+        self.rank = np.searchsorted(self.values, column)
+
+    def read(self, values: np.ndarray) -> np.ndarray:
+        """Vectors in the lists of some values."""
+        values = values.astype(np.int64)
+        first, after = self.starts[values], self.starts[values + 1]
+        some = after > first
+        first, sizes = first[some], (after - first)[some]
+        ends = np.cumsum(sizes)
+        return self.where[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def mark(self, found: np.ndarray, value: np.uint16, ball: np.ndarray, near: int) -> None:
+        """Mark the vectors whose value differs in at most ``near`` bits. The differences in ``ball`` enumerate the values
+        whose lists are read; where fewer values occur than that, each is told near or not and its vectors with it."""
+        if len(ball) <= len(self.values):
+            found[self.read(ball ^ value)] = True
+        else:
+            found |= (np.bitwise_count(self.values ^ value) <= near)[self.rank]
+
+
 class Shard:
     """Multi-index over the distinct vectors of one partition."""
 
@@ -96,48 +128,73 @@ class Shard:
         self.ids, self.starts = ids[by], np.searchsorted(inverse[by], np.arange(len(first) + 1))
         self.vectors, self.codes = vectors[first], codes
         words = codes.encode(self.vectors)
-        self.words = np.ascontiguousarray(words)
-        self.index = []
-        for j in range(words.shape[1]):
-            values, where = np.unique(words[:, j], return_inverse=True)
-            self.index.append((values, where.ravel()))
+        self.wide, self.bits = np.ascontiguousarray(wide(words).T), words.shape[1] * SUBSTRING
+        self.index = [Postings(words[:, j]) for j in range(words.shape[1])]
+        self.weights = np.bitwise_count(np.arange(1 << SUBSTRING, dtype=np.uint16))
+        self.balls: dict[int, np.ndarray] = {}
+        # Vectors whose codes were compared, and whose inner products were computed, over all queries so far.
+        self.compared = self.scored = 0
+
+    def ball(self, near: int) -> np.ndarray:
+        """Differences of at most ``near`` bits between two substrings."""
+        if near not in self.balls:
+            self.balls[near] = np.flatnonzero(self.weights <= near).astype(np.uint16)
+        return self.balls[near]
+
+    def retrieve(self, word: np.ndarray, radius: int) -> np.ndarray:
+        """Vectors in the posting lists that a code probes for a radius.
+
+        With radius = a * m + b over m substrings, a code within the radius differs in at most a bits in one of the
+        first b + 1 substrings or in at most a - 1 in one of the others; else it would differ in more in all.
+        """
+        if radius >= self.bits:
+            return np.arange(len(self.vectors))
+        a, b = divmod(radius, len(word))
+        found = np.zeros(len(self.vectors), bool)
+        for j, postings in enumerate(self.index):
+            near = a if j <= b else a - 1
+            if near >= 0:
+                postings.mark(found, word[j], self.ball(near), near)
+        return np.flatnonzero(found)
+
+    def within(self, word: np.ndarray, radius: int) -> np.ndarray:
+        """Vectors whose code is within the radius, found by the posting lists alone."""
+        at = self.retrieve(word, radius)
+        self.compared += len(at)
+        return at[self.distances(word[None], at)[0] <= radius]
 
     def probe(self, words: np.ndarray) -> np.ndarray:
-        """For query codes: which vectors share a substring up to the pigeonhole radius."""
-        near = self.codes.radius // words.shape[1]
+        """Which vectors ``retrieve`` gives at the fitted radius, as a table of codes by vectors."""
         found = np.zeros((len(words), len(self.vectors)), bool)
-        for j, (values, where) in enumerate(self.index):
-            hit = np.bitwise_count(words[:, j : j + 1] ^ values[None, :]) <= near
-            found |= hit[:, where]
+        for row, word in enumerate(words):
+            found[row, self.retrieve(word, self.codes.radius)] = True
         return found
 
-    def distances(self, words: np.ndarray) -> np.ndarray:
-        return sum(np.bitwise_count(words[:, j : j + 1] ^ self.words[None, :, j]).astype(np.uint16) for j in range(words.shape[1]))
+    def distances(self, words: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Differing bits between each code and all vectors, or those given."""
+        return sum(np.bitwise_count(column[:, None] ^ own[at][None]).astype(np.int32) for column, own in zip(wide(words).T, self.wide, strict=True))
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         """The k nearest of this shard for each query, without the query's own row."""
         words = self.codes.encode(queries)
-        for at in range(0, len(queries), QUERY_ROWS):
-            part = slice(at, at + QUERY_ROWS)
-            retrieved, apart = self.probe(words[part]), self.distances(words[part])
-            within = retrieved & (apart <= self.codes.radius)
-            scores = queries[part] @ self.vectors.T
-            for row, (query_id, query) in enumerate(zip(query_ids[part], queries[part], strict=True)):
-                pick = np.flatnonzero(within[row])
-                if len(pick) <= k:  # widen to the nearest codes: one may be the query itself
-                    pick = np.argpartition(apart[row], min(k + 1, len(apart[row]) - 1))[: k + 2] if len(apart[row]) > k + 2 else np.arange(len(apart[row]))
-                    pick = np.union1d(pick, np.flatnonzero(within[row]))
-                if len(pick) > k + 1:
-                    rough = scores[row, pick]
-                    edge = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
-                    pick = pick[rough >= edge - 1e-9 * max(1.0, abs(edge))]
-                exact = (self.vectors[pick] * query).sum(axis=1)
-                ids = [self.ids[self.starts[p] : min(self.starts[p + 1], self.starts[p] + k + 1)] for p in pick]
-                flat, value = np.concatenate(ids), np.repeat(exact, [len(x) for x in ids])
-                other = flat != query_id
-                flat, value = flat[other], value[other]
-                best = np.lexsort((flat, -value))[:k]
-                yield query_id, flat[best], value[best]
+        for query_id, query, word in zip(query_ids, queries, words, strict=True):
+            radius = min(self.codes.radius, self.bits)
+            pick = self.within(word, radius)
+            while len(pick) <= k and radius < self.bits:  # one may be the query itself: probe the next radius
+                radius = min(self.bits, (radius // len(word) + 2) * len(word) - 1)
+                pick = self.within(word, radius)
+            self.scored += len(pick)
+            if len(pick) > k + 1:
+                rough = self.vectors[pick] @ query
+                edge = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
+                pick = pick[rough >= edge - 1e-9 * max(1.0, abs(edge))]
+            exact = (self.vectors[pick] * query).sum(axis=1)
+            ids = [self.ids[self.starts[p] : min(self.starts[p + 1], self.starts[p] + k + 1)] for p in pick]
+            flat, value = np.concatenate(ids), np.repeat(exact, [len(x) for x in ids])
+            other = flat != query_id
+            flat, value = flat[other], value[other]
+            best = np.lexsort((flat, -value))[:k]
+            yield query_id, flat[best], value[best]
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:

@@ -279,6 +279,40 @@ def test_pigeonhole_retrieves_every_code_within_the_radius():
     assert not (~shard.probe(words) & (shard.distances(words) <= 9)).any()
 
 
+@pytest.mark.parametrize("radius", [0, 1, 5, 9, 13, 16, 25, 31, 32])
+def test_posting_lists_give_what_all_comparisons_give(radius):
+    rng = np.random.default_rng(3)
+    vectors = np.repeat(rng.standard_normal((40, 16)), 10, axis=0) + 0.1 * rng.standard_normal((400, 16))
+    shard = neighbours.Shard(neighbours.fit(vectors, 5, rotations=2), np.arange(400), vectors)
+    words = shard.codes.encode(np.vstack([vectors[:15], rng.standard_normal((5, 16))]))
+    apart = shard.distances(words)
+    for row, word in enumerate(words):
+        assert (shard.within(word, radius) == np.flatnonzero(apart[row] <= radius)).all()
+    postings, every = shard.index[0], np.arange(1 << 16, dtype=np.uint16)
+    for near in (0, 1, 2, 7, 16):  # lists of enumerated values, and near ones among those that occur
+        ball = every[np.bitwise_count(every) <= near]
+        found = np.zeros(400, bool)
+        postings.mark(found, words[0, 0], ball, near)
+        assert sorted(postings.read(ball ^ words[0, 0])) == np.flatnonzero(found).tolist()
+
+
+def test_posting_lists_skip_most_of_clustered_vectors():
+    """Codes of clustered vectors are near or far, so the lists of near values leave most vectors untouched."""
+    rng = np.random.default_rng(4)
+    vectors = (rng.standard_normal((60, 32))[rng.integers(0, 60, 6000)] + 0.15 * rng.standard_normal((6000, 32)))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    ids = np.arange(len(vectors))
+    shard = neighbours.Shard(neighbours.fit(vectors[::4], 10), ids, vectors)
+    asked = ids[::50]
+    found = {q: set(got.tolist()) for q, got, _ in shard.search(asked, vectors[asked], 10)}
+    scores = vectors[asked] @ vectors.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :10]
+    assert sum(len(found[q] & set(b.tolist())) for q, b in zip(asked, best, strict=True)) >= 0.9 * 10 * len(asked)
+    assert shard.compared < 0.05 * len(asked) * len(vectors)
+    assert shard.scored <= shard.compared
+
+
 @pytest.mark.parametrize("size", [47, 48, 49, 50, 300])
 def test_chains_in_lists_of_any_length(size):
     """B is near the leader A, and C is near B alone: in one list, whatever its length, C must hang on."""
