@@ -1,21 +1,27 @@
 """Language-model scoring with a log-frequency Bloom filter (operator 5).
 
-A bigram's training count is quantised to a level (1 + the logarithm of the count), and the filter holds the
-bigram once per level up to its own. Probing level after level until the first miss gives the level back, never too low,
-rarely too high. With q the mean count of the level,
+The training count of a pair of words (and, of order 3, of three words) is quantised to a level (1 + the logarithm of the
+count), and the filter holds the n-gram once per level up to its own. Probing level after level until the first miss gives
+the level back, never too low, rarely too high. With q the mean count of the level,
 
     P(w | v) = LAMBDA * q(v, w) / c(v) + (1 - LAMBDA) * P(w), or P(w) if c(v) = 0
+    P(w | u, v) = LAMBDA * q(u, v, w) / q(u, v) + (1 - LAMBDA) * P(w | v), or P(w | v) if q(u, v) = 0
 
-where c are the word counts and P(w) their additive smoothing. The filter holds every training bigram, so the bigrams of a
+where c are the word counts and P(w) their additive smoothing. The filter holds every training n-gram, so those of a
 context add up to its count and its probabilities to about 1: levels round counts, and the filter's false positives add
 some to contexts that are rare against the number of words. The word before the first and after the last one is the end
-token.
+token; the first word has no context of two.
 
 Work is laid out by chunks, a few megabytes of text each, written once to the shared folder as word numbers and 64-bit
-keys of their distinct words. Word and bigram counts meet by key range: a chunk sends one packed, pre-aggregated piece
-per range, so a frequent word costs one entry per chunk. Ranges grow in number with the corpus, not in size. Each range
-of bigrams builds its own part of the filter. Parts go to the workers in blocks of bounded size; a pass per block adds the
-tokens whose bigrams fall into it.
+keys of their distinct words. Counts meet by key range: a chunk sends one packed, pre-aggregated piece per range, so a
+frequent word or n-gram costs one entry per chunk. Ranges grow in number with the corpus, not in size. Each range of
+n-grams builds its own part of the filter and lays the pieces of its chunks beside it. Consecutive ranges make a slab,
+whose parts together have a bounded size: slab by slab, they go to the workers, which probe the n-grams of that slab alone.
+So every n-gram of a chunk is probed once, however many slabs there are. The levels return to their chunks, which score
+their texts.
+
+N-grams are told apart by their keys' leading bits, ``SPARE_BITS`` more than it takes to number them: one in 4,096 is
+taken for another, which is little against the filter's own false positives.
 
 Defined results: a null text has the end token only; rows of the same id are scored each; without training documents all
 counts are zero and scores are those of the smoothing alone.
@@ -32,13 +38,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fuelspark.llm.rows import quoted, slices
-from fuelspark.operators.scale import materialize
+from fuelspark.operators.scale import materialize, scratch_path
 
 CHUNK_BYTES = 16_000_000
 RANGE_TOKENS = 2_000_000
 ALPHA = 0.1
 LAMBDA = 0.5
 MIN_COUNT = 1  # counts from here on have a level: all
+ORDER = 2
 LEVEL_BASE = 1.5
 PROBES = 6
 BITS_PER_ENTRY = 9
@@ -46,6 +53,7 @@ BITS_PER_ENTRY = 9
 PART_TOKENS = 300_000
 # Filter parts sent to the workers at once.
 BLOCK_BYTES = 64_000_000
+SPARE_BITS = 12
 END_KEY = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end\x00"))
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
@@ -78,8 +86,13 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mix(before * np.uint64(3) + _mix(word))
 
 
-def _probe_places(keys: np.ndarray, level: int, k: int, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    h = _mix(keys + np.uint64((level * 2654435761 + k * 40503 + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+def _level_hashes(keys: np.ndarray, level: int) -> np.ndarray:
+    return _mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+
+
+def _probe_places(hashes: np.ndarray, k: int, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Place of the probe number k: hashes of a level go on in steps of their own."""
+    h = hashes + np.uint64(k) * (hashes << np.uint64(29) | np.uint64(1 << 28))
     return first + ((h >> np.uint64(32)) * size >> np.uint64(32))
 
 
@@ -94,9 +107,9 @@ def build_part(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
     size = int(max(64, levels.sum() * BITS_PER_ENTRY + 63 >> 6 << 6))
     bits = np.zeros(size, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        own = keys[levels >= level]
+        hashes = _level_hashes(keys[levels >= level], level)
         for k in range(PROBES):
-            bits[_probe_places(own, level, k, np.uint64(0), np.uint64(size))] = True
+            bits[_probe_places(hashes, k, np.uint64(0), np.uint64(size))] = True
     return size, np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -109,9 +122,8 @@ class Filter:
         self.first, self.size = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         self.size[ranges] = sizes
         self.first[ranges] = np.cumsum([0, *sizes[:-1]]) if sizes else []
-        self.mine = np.zeros(n, bool)  # ranges whose tokens are scored with this filter, with or without any bigram
+        self.mine = np.zeros(n, bool)  # ranges that the filter answers for
         self.mine[list(own)] = True
-        self.all_here = bool(self.mine.all())
 
     def range_of(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(self.shift)).astype(np.int64) if self.shift < 64 else np.zeros(len(keys), np.int64)
@@ -120,12 +132,14 @@ class Filter:
         """Level of each key of the ranges at hand, 0 if the filter doesn't hold it."""
         out = np.zeros(len(keys), np.int64)
         where = self.range_of(keys)
-        first, size = self.first[where], self.size[where]
-        alive = np.flatnonzero(size > 0)
+        alive = np.flatnonzero(self.mine[where] & (self.size[where] > 0))
+        first, size = self.first[where[alive]], self.size[where[alive]]
         for level in range(1, self.top + 1):
+            hashes = _level_hashes(keys[alive], level)
             for k in range(PROBES):
-                at = _probe_places(keys[alive], level, k, first[alive], size[alive])
-                alive = alive[self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1]
+                at = _probe_places(hashes, k, first, size)
+                hit = self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+                alive, hashes, first, size = alive[hit], hashes[hit], first[hit], size[hit]
             out[alive] = level
             if not len(alive):
                 break
@@ -184,8 +198,24 @@ def _pieces(keys: np.ndarray, values: np.ndarray, shift: int):
             yield int(where[s]), keys[s:e], values[s:e]
 
 
-def _deltas(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=np.uint64(0)))
+def _deltas(keys: np.ndarray, drop: int = 0) -> bytes:
+    """Ascending keys, whose last ``drop`` bits are zero."""
+    return pack(np.diff(keys >> np.uint64(drop), prepend=np.uint64(0)))
+
+
+def _from_deltas(data: bytes, drop: int = 0) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64) << np.uint64(drop)
+
+
+def gram_keys(ids: np.ndarray, keys: np.ndarray, ends: np.ndarray, n: int, drop: int) -> np.ndarray:
+    """Key of the n-gram that ends in each token; those of order 3 at the begin of a text are never asked for."""
+    before = np.append(0, ids[:-1])
+    grams = pair_keys(keys[before], keys[ids])
+    if n == 3:
+        first = np.append(0, before[:-1])
+        first[np.append(0, ends[:-1])] = 0
+        grams = pair_keys(pair_keys(keys[first], keys[before]), keys[ids])
+    return grams >> np.uint64(drop) << np.uint64(drop)
 
 
 def word_counts(chunks: DataFrame, shift: int) -> DataFrame:
@@ -213,104 +243,140 @@ def word_counts(chunks: DataFrame, shift: int) -> DataFrame:
     return sent.groupBy("range").applyInArrow(add, "chunk bigint, range int, counts binary, words bigint")
 
 
-def bigram_filter(chunks: DataFrame, shift: int) -> DataFrame:
-    """Filter part and count statistics of each range of bigram keys."""
+def gram_filter(chunks: DataFrame, order: int, shift: int, drop: int, slab_bits: int) -> DataFrame:
+    """Per range of keys its filter part with count statistics (``chunk`` null), and the chunks' pieces: their distinct
+    n-grams of the range in key order, held-out ones included."""
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids, keys = unpack(row["ids"]).astype(np.int64), np.frombuffer(row["keys"], "<u8")
-                in_training = np.repeat(np.array(row["training"], bool), np.diff(row["ends"], prepend=0))
-                pairs = pair_keys(keys[np.append(0, ids[:-1])], keys[ids])[in_training]
-                pairs.sort()
-                cuts = np.flatnonzero(np.diff(pairs, prepend=~pairs[:1])) if len(pairs) else np.zeros(0, np.int64)
-                out = [(r, _deltas(k), pack(v)) for r, k, v in _pieces(pairs[cuts], np.diff(np.append(cuts, len(pairs))).astype(np.uint64), shift)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["range", "keys", "counts"])
+                ids, keys, ends = unpack(row["ids"]).astype(np.int64), np.frombuffer(row["keys"], "<u8"), np.array(row["ends"])
+                in_training = np.repeat(np.array(row["training"], bool), np.diff(ends, prepend=0))
+                for n in range(2, order + 1):
+                    grams = gram_keys(ids, keys, ends, n, drop)
+                    trained = np.sort(grams[in_training])
+                    grams.sort()
+                    grams = grams[np.flatnonzero(np.diff(grams, prepend=~grams[:1]))]
+                    counts = (np.searchsorted(trained, grams, "right") - np.searchsorted(trained, grams, "left")).astype(np.uint64)
+                    out = [(row["chunk"], n, r, _deltas(k, drop), pack(v)) for r, k, v in _pieces(grams, counts, shift)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "n", "range", "keys", "counts"])
 
     def build(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in table.column("keys").to_pylist()])
+        keys = np.concatenate([_from_deltas(x, drop) for x in table.column("keys").to_pylist()])
         counts = np.concatenate([unpack(x) for x in table.column("counts").to_pylist()])
+        keys, counts = keys[counts > 0], counts[counts > 0]
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
-        cuts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-        keys, counts = keys[cuts], np.add.reduceat(counts, cuts).astype(np.int64)
-        size, bits = build_part(keys, counts)
+        cuts = np.flatnonzero(np.diff(keys, prepend=~keys[:1])) if len(keys) else np.zeros(0, np.int64)
+        keys, counts = keys[cuts], np.add.reduceat(counts, cuts).astype(np.int64) if len(cuts) else np.zeros(0, np.int64)
+        size, bits = build_part(keys, counts) if len(keys) else (0, b"")
         levels = levels_of(counts) if len(counts) else np.zeros(0, np.int64)
-        return pa.table({"range": table.column("range")[:1], "size": pa.array([size], pa.int64()), "bits": pa.array([bits], pa.binary()),
-                         "level_n": pa.array([np.bincount(levels).tolist()], pa.list_(pa.int64())), "level_sum": pa.array([np.bincount(levels, counts).astype(np.int64).tolist()], pa.list_(pa.int64()))})
+        at = table.column("range")[0].as_py()
+        pieces = {"chunk": table.column("chunk").to_pylist(), "n": table.column("n").to_pylist(), "keys": table.column("keys").to_pylist()}
+        rows = table.num_rows
+        return pa.table({
+            "slab": pa.array([at >> slab_bits] * (rows + 1), pa.int32()), "range": pa.array([at] * (rows + 1), pa.int32()), "chunk": pa.array([None, *pieces["chunk"]], pa.int64()),
+            "n": pa.array([None, *pieces["n"]], pa.int32()), "keys": pa.array([bits, *pieces["keys"]], pa.binary()), "size": pa.array([size] + [None] * rows, pa.int64()),
+            "level_n": pa.array([np.bincount(levels).tolist()] + [None] * rows, pa.list_(pa.int64())),
+            "level_sum": pa.array([np.bincount(levels, counts).astype(np.int64).tolist()] + [None] * rows, pa.list_(pa.int64()))})
+
+    sent = chunks.select("chunk", "ids", "keys", "training", "ends").mapInArrow(send, "chunk bigint, n int, range int, keys binary, counts binary")
+    schema = "slab int, range int, chunk bigint, n int, keys binary, size bigint, level_n array<bigint>, level_sum array<bigint>"
+    return sent.groupBy("range").applyInArrow(build, schema)
+
+
+def probed_levels(pieces: DataFrame, shared, drop: int) -> DataFrame:
+    """Levels of the n-grams of each piece, in key order, by the broadcast filter of their slab."""
+    def probe(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                piece = batch.slice(at, 1)
+                levels = pack(shared.value.levels(_from_deltas(piece.column(3)[0].as_py(), drop)).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array([levels], pa.binary())], names=["chunk", "n", "range", "counts"])
 
-    sent = chunks.select("ids", "keys", "training", "ends").mapInArrow(send, "range int, keys binary, counts binary")
-    return sent.groupBy("range").applyInArrow(build, "range int, size bigint, bits binary, level_n array<bigint>, level_sum array<bigint>")
+    return pieces.select("chunk", "n", "range", "keys").mapInArrow(probe, "chunk bigint, n int, range int, counts binary")
 
 
-def scores(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+def scores(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; ``order``: 2 or 3."""
     spark = docs.sparkSession
     chunks = materialize(tokenise(docs, is_training, id_col, text_col), "chunks")
     tokens, train = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
-    shift = 64 - max(0, math.ceil(math.log2(max(1, tokens / RANGE_TOKENS))))
-    counts = materialize(word_counts(chunks, shift), "counts")
+    bits_for = lambda n: max(0, math.ceil(math.log2(max(1, n))))
+    counts = materialize(word_counts(chunks, 64 - bits_for(tokens / RANGE_TOKENS)), "counts")
     distinct = counts.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    parts = materialize(bigram_filter(chunks, shift), "filter")
-    sizes = sorted((r["range"], r["size"]) for r in parts.select("range", "size").collect())
-    level_n, level_sum = (
-        {r["pos"]: r["s"] for r in parts.select(F.posexplode(c)).groupBy("pos").agg(F.sum("col").alias("s")).collect()} for c in ("level_n", "level_sum"))
-    top = max(level_n, default=0)
-    value = np.array([0.0] + [level_sum[j] / level_n[j] if level_n.get(j) else 0.0 for j in range(1, top + 1)])
-
-    blocks, filled = [[]], 0
-    for r, size in sizes:
-        if blocks[-1] and filled + size // 8 > BLOCK_BYTES:
-            blocks.append([])
-            filled = 0
-        blocks[-1].append(r)
-        filled += size // 8
-    found = None
-    for number, ranges in enumerate(blocks):
-        rows = {r["range"]: r for r in parts.filter(F.col("range").isin(ranges)).collect()} if ranges else {}
-        held = [rows[r] for r in ranges]
-        own = set(range(1 << (64 - shift))) - {r for b in blocks[1:] for r in b} if number == 0 else set(ranges)
-        shared = spark.sparkContext.broadcast(Filter(shift, ranges, [r["size"] for r in held], [r["bits"] for r in held], top, own))
-        one = _score_block(chunks, counts, shared, value, train, distinct)
-        found = one if found is None else found.unionByName(one)
-    if len(blocks) > 1:
-        found = found.groupBy("_row", "doc_id", "held_out", "n_tokens", "n_known", "base_score").agg(F.sum("score").alias("score"))
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("bigint").alias("train_tokens"), "base_score", "score")
-
-
-def _score_block(chunks: DataFrame, counts: DataFrame, shared, value: np.ndarray, train: int, distinct: int) -> DataFrame:
-    """Sums over the tokens whose bigram belongs to the ranges of this block, which takes those of ranges without any
-    bigram if it is the first."""
-    def score(own: pa.Table, counted: pa.Table) -> pa.Table:
+
+    grams = tokens * (order - 1)
+    range_bits = bits_for(grams / RANGE_TOKENS)
+    shift, drop = 64 - range_bits, max(0, 64 - bits_for(grams) - SPARE_BITS)
+    # a range has no more levels than n-gram tokens, so this bounds the filter of a slab
+    slab_bits = min(range_bits, bits_for(BLOCK_BYTES * 8 / BITS_PER_ENTRY / max(1, grams >> range_bits) / 2))
+    folder = scratch_path(spark, "filter")
+    gram_filter(chunks, order, shift, drop, slab_bits).write.partitionBy("slab").parquet(folder)
+    laid = spark.read.schema("range int, chunk bigint, n int, keys binary, size bigint, level_n array<bigint>, level_sum array<bigint>, slab int").parquet(folder)
+    parts, pieces = laid.filter("chunk IS NULL"), laid.filter("chunk IS NOT NULL")
+    stats = parts.select(F.posexplode(F.arrays_zip("level_n", "level_sum"))).groupBy("pos").agg(F.sum("col.level_n").alias("n"), F.sum("col.level_sum").alias("s")).collect()
+    mean = {r["pos"]: r["s"] / r["n"] for r in stats if r["n"]}
+    top = max(mean, default=0)
+    value = np.array([0.0] + [mean.get(j, 0.0) for j in range(1, top + 1)])
+
+    found = scratch_path(spark, "levels")
+    for slab in range(1 << (range_bits - slab_bits)):
+        held = sorted((r["range"], r["size"], bytes(r["keys"])) for r in parts.filter(F.col("slab") == slab).select("range", "size", "keys").collect())
+        ranges = [r for r, _, _ in held]
+        shared = spark.sparkContext.broadcast(Filter(shift, ranges, [n for _, n, _ in held], [b for _, _, b in held], top, set(ranges)))
+        probed_levels(pieces.filter(F.col("slab") == slab), shared, drop).write.mode("append").parquet(found)
+        shared.destroy()
+    levels = spark.read.schema("chunk bigint, n int, range int, counts binary").parquet(found)
+    back = counts.select("chunk", F.lit(1).alias("n"), "range", "counts").unionByName(levels)
+    scored = _score(chunks, back, order, drop, value, train, distinct)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+def _score(chunks: DataFrame, back: DataFrame, order: int, drop: int, value: np.ndarray, train: int, distinct: int) -> DataFrame:
+    """Scores of the texts of each chunk by the counts of its words and the levels of its n-grams."""
+    def token_levels(ids, keys, ends, n, pieces):
+        grams = gram_keys(ids, keys, ends, n, drop)
+        by_key = np.argsort(grams)
+        number = np.cumsum(np.diff(grams[by_key], prepend=grams[by_key[:1]]) != 0)
+        out = np.empty(len(ids), np.uint8)
+        out[by_key] = np.concatenate([unpack(x).astype(np.uint8) for x in pieces])[number]
+        return out
+
+    def score(own: pa.Table, returned: pa.Table) -> pa.Table:
         out = []
-        pieces = counted.sort_by("range").column("counts").to_pylist()
+        returned = returned.sort_by([("n", "ascending"), ("range", "ascending")])
+        of = np.array(returned.column("n").to_pylist())
+        returned = returned.column("counts").to_pylist()
+        pieces = {n: [returned[i] for i in np.flatnonzero(of == n)] for n in range(1, order + 1)}
         for row in own.to_pylist():
             ids, keys, ends = unpack(row["ids"]).view(np.int64), np.frombuffer(row["keys"], "<u8"), np.array(row["ends"])
             c = np.empty(len(keys))
-            c[np.argsort(keys)] = np.concatenate([unpack(x) for x in pieces])
+            c[np.argsort(keys)] = np.concatenate([unpack(x) for x in pieces[1]])
+            level = {n: token_levels(ids, keys, ends, n, pieces[n]) for n in range(2, order + 1)}
             base = (c + ALPHA) / (train + ALPHA * (distinct + 1))
             log_base, known = np.log10(base), (c > 0).astype(np.int64)
             at = 0
             while at < len(ends):  # whole documents of about PART_TOKENS at a time
                 begin = int(ends[at - 1]) if at else 0
                 stop = max(at + 1, int(np.searchsorted(ends, begin + PART_TOKENS, "right")))
-                own, cuts = ids[begin : ends[stop - 1]], np.append(begin, ends[at : stop - 1]) - begin
-                before = np.append(0, own[:-1])
-                pairs = pair_keys(keys[before], keys[own])
-                level = shared.value.levels(pairs)
-                seen = c[before]
+                part, cuts = slice(begin, int(ends[stop - 1])), np.append(begin, ends[at : stop - 1]) - begin
+                own_ids = ids[part]
+                seen = c[np.append(0, own_ids[:-1])]
+                p = base[own_ids]
                 weight = np.where(seen > 0, LAMBDA, 0.0)
-                p = (1 - weight) * base[own] + weight * np.minimum(value[level] / np.maximum(seen, 1), 1.0)
-                logs = np.log10(p)
-                if not shared.value.all_here:
-                    logs[~shared.value.mine[shared.value.range_of(pairs)]] = 0.0
+                p = (1 - weight) * p + weight * np.minimum(value[level[2][part]] / np.maximum(seen, 1), 1.0)
+                if order == 3:
+                    seen = np.append(0.0, value[level[2][part]][:-1])
+                    seen[cuts] = 0.0
+                    weight = np.where(seen > 0, LAMBDA, 0.0)
+                    p = (1 - weight) * p + weight * np.minimum(value[level[3][part]] / np.maximum(seen, 1), 1.0)
                 out.append(pa.table({
-                    "_row": pa.array((row["chunk"] * (1 << 20) + np.arange(at, stop)).astype(np.int64)), "doc_id": pa.array(row["doc_ids"][at:stop], pa.int64()),
-                    "held_out": pa.array([not t for t in row["training"][at:stop]]), "n_tokens": pa.array(np.diff(np.append(cuts, len(own)))),
-                    "n_known": pa.array(np.add.reduceat(known[own], cuts)), "base_score": pa.array(np.add.reduceat(log_base[own], cuts)), "score": pa.array(np.add.reduceat(logs, cuts))}))
+                    "doc_id": pa.array(row["doc_ids"][at:stop], pa.int64()), "held_out": pa.array([not t for t in row["training"][at:stop]]),
+                    "n_tokens": pa.array(np.diff(np.append(cuts, len(own_ids)))), "n_known": pa.array(np.add.reduceat(known[own_ids], cuts)),
+                    "base_score": pa.array(np.add.reduceat(log_base[own_ids], cuts)), "score": pa.array(np.add.reduceat(np.log10(p), cuts))}))
                 at = stop
         return pa.concat_tables(out)
 
-    schema = "_row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     payload = chunks.select("chunk", "doc_ids", "training", "ends", "ids", "keys")
-    return payload.groupBy("chunk").cogroup(counts.select("chunk", "range", "counts").groupBy("chunk")).applyInArrow(score, schema)
+    return payload.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, schema)

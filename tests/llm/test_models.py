@@ -224,3 +224,56 @@ def test_probabilities_of_a_context_add_up(spark):
     for v, single in (("a", 0.5), ("b", 0.5), ("new", 1.0)):
         p = [10 ** score[f"{v} {w}"] / first[v] / last[w] for w in words if w != "s"]
         assert sum(p) + last[v] + single * (base["s"] + base["new"]) == pytest.approx(1, abs=0.03)
+
+
+def plain_scores(rows, training, order):
+    """Exact counts in place of levels; texts of at least one word."""
+    grams, words, texts = collections.Counter(), collections.Counter(), [(i, ["", *[x for x in re.split("[\x20\x09-\x0D]+", lower(t)) if x], ""]) for i, t in rows]
+    for i, w in texts:
+        if training(i):
+            words.update(w[1:])
+            for n in (2, 3):
+                grams.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    total, out = sum(words.values()), []
+    for i, w in texts:
+        score = 0.0
+        for k in range(1, len(w)):
+            p = (words[w[k]] + 0.1) / (total + 0.1 * (len(words) + 1))
+            if words[w[k - 1]]:
+                p = 0.5 * grams[tuple(w[k - 1 : k + 1])] / words[w[k - 1]] + 0.5 * p
+            if order == 3 and k > 1 and grams[tuple(w[k - 2 : k])]:
+                p = 0.5 * min(grams[tuple(w[k - 2 : k + 1])] / grams[tuple(w[k - 2 : k])], 1) + 0.5 * p
+            score += math.log10(p)
+        out.append((i, len(w) - 1, score))
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_are_near_those_of_exact_counts(spark, monkeypatch, order):
+    """Levels round counts and few n-grams are false positives, so a token is off by little; slabs change nothing."""
+    monkeypatch.setattr(language_model, "RANGE_TOKENS", 50_000)
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.selectExpr("doc_id + 1000000 AS doc_id", "text"))
+    rows = [tuple(r) for r in docs.filter("text rlike '[!-~]'").collect()]
+    training = lambda i: i < 1_000_000 and i % 4 != 0
+    marked = F.expr("doc_id < 1000000 and doc_id % 4 <> 0")
+    got = {r.doc_id: r.score for r in language_model.scores(docs, marked, order=order).collect()}
+    want = plain_scores(rows, training, order)
+    off = np.array([(got[i] - score) / n for i, n, score in want])
+    assert np.abs(off).mean() < 0.02 and np.abs(np.average(off, weights=[n for _, n, _ in want])) < 0.02
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 1)
+    assert {r.doc_id: r.score for r in language_model.scores(docs, marked, order=order).collect()} == got
+    if order == 3:  # texts known from training stand out more than by pairs
+        known = [score / n for i, n, score in want if i > 1_000_000 and training(i - 1_000_000)]
+        pairs = [score / n for i, n, score in plain_scores(rows, training, 2) if i > 1_000_000 and training(i - 1_000_000)]
+        assert np.mean(known) > np.mean(pairs)
+
+
+def test_texts_of_one_chunk_do_not_share_contexts(spark):
+    """The first words of a text have no context from the text before it."""
+    rows = [(0, "p q r s"), (1, "p q r s"), (2, "q r"), (3, "r s"), (4, ""), (5, None), (6, "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    together = {r.doc_id: r.score for r in language_model.scores(docs, F.col("doc_id") < 2, order=3).collect()}
+    for i, t in rows[2:]:
+        alone = spark.createDataFrame([*rows[:2], (i, t)], docs.schema)
+        assert together[i] == pytest.approx({r.doc_id: r.score for r in language_model.scores(alone, F.col("doc_id") < 2, order=3).collect()}[i], abs=1e-9)
