@@ -54,6 +54,8 @@ PART_TOKENS = 300_000
 # Filter parts sent to the workers at once.
 BLOCK_BYTES = 64_000_000
 SPARE_BITS = 12
+# Packed keys that are probed together within a task.
+PROBE_BYTES = 1_000_000
 END_KEY = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end\x00"))
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
@@ -250,13 +252,15 @@ def gram_filter(chunks: DataFrame, order: int, shift: int, drop: int, slab_bits:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, keys, ends = unpack(row["ids"]).astype(np.int64), np.frombuffer(row["keys"], "<u8"), np.array(row["ends"])
-                in_training = np.repeat(np.array(row["training"], bool), np.diff(ends, prepend=0))
+                in_training = np.repeat(np.array(row["training"], np.uint64), np.diff(ends, prepend=0))
                 for n in range(2, order + 1):
                     grams = gram_keys(ids, keys, ends, n, drop)
-                    trained = np.sort(grams[in_training])
+                    grams |= in_training  # in the last bit, which every key leaves free
                     grams.sort()
-                    grams = grams[np.flatnonzero(np.diff(grams, prepend=~grams[:1]))]
-                    counts = (np.searchsorted(trained, grams, "right") - np.searchsorted(trained, grams, "left")).astype(np.uint64)
+                    trained = grams & np.uint64(1)
+                    grams ^= trained
+                    cuts = np.flatnonzero(np.diff(grams, prepend=~grams[:1]))
+                    grams, counts = grams[cuts], np.add.reduceat(trained, cuts)
                     out = [(row["chunk"], n, r, _deltas(k, drop), pack(v)) for r, k, v in _pieces(grams, counts, shift)]
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "n", "range", "keys", "counts"])
 
@@ -288,10 +292,11 @@ def probed_levels(pieces: DataFrame, shared, drop: int) -> DataFrame:
     """Levels of the n-grams of each piece, in key order, by the broadcast filter of their slab."""
     def probe(batches):
         for batch in batches:
-            for at in range(batch.num_rows):
-                piece = batch.slice(at, 1)
-                levels = pack(shared.value.levels(_from_deltas(piece.column(3)[0].as_py(), drop)).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array([levels], pa.binary())], names=["chunk", "n", "range", "counts"])
+            for piece in slices(batch, 3, PROBE_BYTES):
+                keys = [_from_deltas(x, drop) for x in piece.column(3).to_pylist()]
+                levels = shared.value.levels(np.concatenate(keys)).astype(np.uint64)
+                made = [pack(x) for x in np.split(levels, np.cumsum([len(k) for k in keys])[:-1])]
+                yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(made, pa.binary())], names=["chunk", "n", "range", "counts"])
 
     return pieces.select("chunk", "n", "range", "keys").mapInArrow(probe, "chunk bigint, n int, range int, counts binary")
 
@@ -307,7 +312,7 @@ def scores(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_co
 
     grams = tokens * (order - 1)
     range_bits = bits_for(grams / RANGE_TOKENS)
-    shift, drop = 64 - range_bits, max(0, 64 - bits_for(grams) - SPARE_BITS)
+    shift, drop = 64 - range_bits, max(1, 64 - bits_for(grams) - SPARE_BITS)
     # a range has no more levels than n-gram tokens, so this bounds the filter of a slab
     slab_bits = min(range_bits, bits_for(BLOCK_BYTES * 8 / BITS_PER_ENTRY / max(1, grams >> range_bits) / 2))
     folder = scratch_path(spark, "filter")
