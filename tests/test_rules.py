@@ -1,12 +1,16 @@
 """Boundary values of the rules, worked out by hand."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from fuelspark.functions import geo, text
+from fuelspark.functions import fuzzy, geo, text
 from fuelspark.functions.fuzzy import indel_ratio, nearest_brand_udf, partial_ratio, token_set_ratio, token_sort_ratio
 from fuelspark.operators import anomaly, conform, matching, scale, spatial, trends
 from fuelspark.operators.prices import sane_price
+from fuelspark.plans import bindings
 
 
 def one(spark, expression, **values):
@@ -135,3 +139,92 @@ def test_nearest_brand_in_small_batches(spark):
         got = df.repartition(parts, "k").select("k", "t", nearest_brand_udf("t").alias("b")).collect()
         assert sorted((r.k, r.b) for r in got) == [(k, want.get(t)) for k, t in rows]
     assert df.filter("k < 0").select(nearest_brand_udf("t")).count() == 0
+
+
+def test_partial_ratio_equals_all_windows():
+    """The best of every window, edges included, by a plain table; and few windows are compared in full."""
+    def lcs(x, y):
+        row = [0] * (len(y) + 1)
+        for ch in x:
+            before = row[:]
+            for j, other in enumerate(y):
+                row[j + 1] = before[j] + 1 if ch == other else max(before[j + 1], row[j])
+        return row[-1]
+
+    def plain(x, y):
+        x, y = sorted((x, y), key=len)
+        windows = [y[max(0, e - len(x)):min(e, len(y))] for e in range(1, len(x) + len(y))]
+        if len(x) == len(y):
+            windows += [x[max(0, e - len(x)):min(e, len(x))] for e in range(1, 2 * len(x))]
+        return max(200.0 * max(lcs(x, w), lcs(y, w) if len(x) == len(y) else 0) / (len(x) + len(w)) for w in windows)
+
+    draw = random.Random(5)
+    for _ in range(300):
+        a, b = ("".join(draw.choice("abcd ") for _ in range(draw.randint(1, 14))) for _ in "ab")
+        if len(a) != len(b):
+            assert partial_ratio(a, b) == pytest.approx(plain(a, b)), (a, b)
+    calls, real = [], fuzzy._lcs
+    fuzzy._lcs = lambda *x: calls.append(1) or real(*x)
+    try:
+        fuzzy.address_similarity("AVENIDA HIDALGO 12 COLONIA CENTRO", "CALLE MORELOS 40 BARRIO SAN JUAN DE LOS LAGOS NORTE")
+    finally:
+        fuzzy._lcs = real
+    assert len(calls) < 50  # of 84 windows
+
+
+def test_hot_pairs_are_dealt(spark):
+    """A key of few rows but many pairs is dealt over salts; every pair still meets once."""
+    left = spark.createDataFrame([(1, i) for i in range(40)] + [(2, 99), (None, 5)], "k int, x int")
+    right = spark.createDataFrame([(1, i) for i in range(30)] + [(3, 9), (None, 5)], "k int, y int")
+    salts = {r.k: (r._salts_a, r._salts_b) for r in scale.hot_keys(left, right, ["k"], 100_000, 100).collect()}
+    assert salts == {1: (4, 3)}
+    got = sorted(map(tuple, scale.salted_pairs(left, right, ["k"], "x", 100_000, 100).select("x", "y").collect()))
+    assert got == [(x, y) for x in range(40) for y in range(30)]
+
+
+def km(a, b):
+    half = [math.sin(math.radians(y - x) / 2) ** 2 for x, y in zip(a, b)]
+    h = half[0] + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * half[1]
+    return math.floor(2 * 6371 * math.atan2(math.sqrt(h), math.sqrt(1 - h)) * 100 + 0.5) / 100
+
+
+def test_searches_equal_brute_force_and_meet_few(spark):
+    """A crowd, its edge and thin country: the cheapest and nearest of each point, from few of the pairs in reach."""
+    draw = random.Random(7)
+    at = lambda: (round(19 + draw.random() * (0.15 if draw.random() < 0.8 else 0.5), 4), round(-99.4 + draw.random() * (0.15 if draw.random() < 0.8 else 0.5), 4))
+    stations = [(i, *at(), draw.choice([None, *[round(20 + draw.random() * 3, 2) for _ in range(9)]])) for i in range(600)]
+    points = [(i, *at()) for i in range(150)]
+    s = spark.createDataFrame(stations, "id bigint, lat double, lng double, price double")
+    p = spark.createDataFrame(points, "point_id bigint, lat double, lng double")
+    reach = {i: [(km((y, x), (b, c)), j, price) for j, b, c, price in stations if km((y, x), (b, c)) <= 10] for i, y, x in points}
+    want = set()
+    for i, rows in reach.items():
+        want |= {(i, "nearest", k + 1, j) for k, (_, j, _) in enumerate(sorted((d, j, 0) for d, j, _ in rows)[:5])}
+        want |= {(i, "cheapest", k + 1, j) for k, (_, _, j) in enumerate(sorted((price, d, j) for d, j, price in rows if price is not None)[:5])}
+    got = spatial.nearby_rankings(p, s).select("point_id", "ranking", "rank", "id").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    near = sum(map(len, reach.values()))
+    assert spatial.cheapest_within(p, s.filter("price is not null"), 10.0, 5).count() < near / 3
+    assert spatial.nearest_within(p, s, 10.0, 5).count() < near / 3
+
+
+def test_distances_and_anomalies_per_coordinate(spark):
+    """Many stations at few coordinates: distances are taken between coordinates, results are of all stations."""
+    rows = [(i % 40, "B", "C", "S", "R", 19.0 + i % 3 * 0.02, -99.0, "regular", 20.0 + i % 5 * 0.1 + (5 if i == 17 else 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, brand string, city string, state string, region string, lat double, lng double, fuel string, price double").withColumn("name", F.lit("s"))
+    pairs = spatial.distance_matrix(df, 3.0)
+    want = sorted((a[0], b[0]) for a in rows for b in rows if km((a[5], a[6]), (b[5], b[6])) <= 3)
+    assert sorted((r.id_a, r.id_b) for r in pairs.select("id_a", "id_b").collect()) == want
+    others = [r for k, r in enumerate(rows) if k != 17 and km((r[5], r[6]), (rows[17][5], rows[17][6])) <= 10]
+    found = anomaly.local_anomalies(df).filter("price > 24").collect()
+    assert [(r.nearby_count, r.local_avg) for r in found] == [(len(others), math.floor(sum(round(r[8] * 100) for r in others) / len(others) + 0.5) / 100)]
+    stats = anomaly._local_statistics(df, 10.0)
+    assert stats.groupBy("lat", "lng", "fuel", "price").count().filter("count > 1").isEmpty()
+
+
+def test_parts_are_not_broadcast(spark, tmp_path):
+    """The file of parts is small for its rows; a broadcast of them fills the driver."""
+    spark.range(10).select(F.col("id").alias("p_partkey"), F.lit("n").alias("p_name"), F.lit("LARGE").alias("p_type"), F.lit(3).alias("p_size"), F.lit("Brand#1").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    df = bindings.raw_staging(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 10 and "BroadcastHashJoin" not in plan
