@@ -228,3 +228,32 @@ def test_parts_are_not_broadcast(spark, tmp_path):
     df = bindings.raw_staging(spark, str(tmp_path))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert df.count() == 10 and "BroadcastHashJoin" not in plan
+
+
+def test_neighbourhood_histograms_in_tiles(spark, monkeypatch):
+    """Statistics of all others within the radius equal brute force when places and their histograms are dealt over many tiles."""
+    draw = random.Random(3)
+    rows = [(i, round(19 + draw.random() * 0.3, 2), round(-99.3 + draw.random() * 0.3, 2), draw.choice(["regular", "diesel"]), 20 + draw.randrange(12) / 10) for i in range(250)]
+    rows += rows[:20] + [(900, None, -99.1, "diesel", 20.0), (901, 25.0, -99.1, "diesel", 20.0)]
+    df = spark.createDataFrame(rows, "id bigint, lat double, lng double, fuel string, price double")
+    monkeypatch.setattr(anomaly, "TILE_PLACES", 6)
+    monkeypatch.setattr(anomaly, "TILE_BINS", 25)
+    got = {(r.lat, r.lng, r.fuel, r.price): r for r in anomaly._local_statistics(df, 10.0).collect()}
+    want = 0
+    for k, (_, lat, lng, fuel, price) in enumerate(rows):
+        if lat is None:
+            continue
+        near = sorted(round(r[4] * 100) for j, r in enumerate(rows) if j != k and r[1] is not None and r[3] == fuel and km((lat, lng), r[1:3]) <= 10)
+        if len(near) < 2:
+            assert (lat, lng, fuel, price) not in got
+            continue
+        want, r = want + 1, got[lat, lng, fuel, price]
+        assert (r.nearby_count, r._s, r._ss, r._lo, r._hi) == (len(near), sum(near), sum(c * c for c in near), near[0], near[-1])
+        for share, q in zip((0.25, 0.75), r._q):
+            at = share * (len(near) - 1)
+            low, high = near[math.floor(at)], near[math.ceil(at)]
+            assert q == pytest.approx(low + (at - math.floor(at)) * (high - low))
+    assert want > 200
+    places = df.filter("lat is not null").select("lat", "lng").distinct()
+    here, around, tile = anomaly._tiles(places, df.filter("lat is not null").groupBy("lat", "lng", "fuel").agg(F.lit(1).alias("n")), 10.0)
+    assert here.groupBy(*tile).count().agg(F.max("count")).first()[0] < 30 and here.select("_a", "_b").distinct().count() > 4
