@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fuelspark.functions import fuzzy, geo, text
 from fuelspark.functions.fuzzy import indel_ratio, nearest_brand_udf, partial_ratio, token_set_ratio, token_sort_ratio
-from fuelspark.operators import anomaly, conform, matching, scale, spatial, trends
+from fuelspark.operators import anomaly, conform, fleet, matching, scale, spatial, trends
 from fuelspark.operators.prices import sane_price
 from fuelspark.plans import bindings
 
@@ -257,3 +257,40 @@ def test_neighbourhood_histograms_in_tiles(spark, monkeypatch):
     places = df.filter("lat is not null").select("lat", "lng").distinct()
     here, around, tile = anomaly._tiles(places, df.filter("lat is not null").groupBy("lat", "lng", "fuel").agg(F.lit(1).alias("n")), 10.0)
     assert here.groupBy(*tile).count().agg(F.max("count")).first()[0] < 30 and here.select("_a", "_b").distinct().count() > 4
+
+
+def test_corridor_folds_routes_and_stations(spark, monkeypatch):
+    """Routes that share points, crowded places and salts: the corridor, its summary and its cheapest equal brute force, folded or not."""
+    draw = random.Random(5)
+    lines = [[(round(19 + draw.random() * 0.2, 3), round(-99.2 + draw.random() * 0.2, 3)) for _ in range(4)] for _ in range(4)]
+    points = [(r, k, *p) for r in range(30) for k, p in enumerate(lines[r % 4])] + [(30, 0, None, -99.0), (30, 1, 19.1, None)]
+    places = [(round(19 + draw.random() * 0.2, 3), round(-99.2 + draw.random() * 0.2, 3)) for _ in range(12)]
+    priced = [(i, *places[i % 12], round(20 + draw.random(), 2)) for i in range(60)] + [(99, None, -99.1, 1.0)]
+    p = spark.createDataFrame(points, "route_id bigint, seq bigint, lat double, lng double")
+    s = spark.createDataFrame(priced, "id bigint, lat double, lng double, price double")
+    exact = lambda a, b: 2 * 6371 * math.asin(math.sqrt(math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2))
+    want = {}
+    for r, k, y, x in points:
+        for i, b, c, price in priced:
+            if k % 2 == 0 and None not in (y, x, b, c) and exact((y, x), (b, c)) <= 8:
+                want[r, i] = (price, min(exact((y, x), (b, c)), want.get((r, i), (0, 99))[1]))
+    monkeypatch.setattr(spatial, "HOT_PAIRS", 40)
+    rows, folded = (spatial.corridor(p, s, 8.0, 2, folded=f) for f in (False, True))
+    got = rows.collect()
+    assert len(got) == len(want) > 300 and folded.count() < len(want) / 2
+    assert all((r.price, r.snap_km) == (want[r.route_id, r.id][0], pytest.approx(want[r.route_id, r.id][1], abs=1e-4)) for r in got)
+    of = lambda r: sorted((price, i) for (route, i), (price, _) in want.items() if route == r)
+    for form in (rows, folded):
+        assert {r.route_id: (r.stations, r.lowest_price) for r in fleet.route_summary(form).collect()} == {r: (len(of(r)), of(r)[0][0]) for r in range(30) if of(r)}
+        top = sorted((r.route_id, r["rank"], r.price, r.id) for r in fleet.route_top(form, 3).collect())
+        assert top == [(r, k + 1, *x) for r in range(30) for k, x in enumerate(of(r)[:3])]
+    assert sorted(fleet.route_summary(rows).collect()) == sorted(fleet.route_summary(folded).collect())
+
+
+def test_pairs_are_dealt_by_what_rows_stand_for(spark):
+    """Few rows that stand for many records each are dealt as their records would be."""
+    left, right = (spark.createDataFrame([(1, i, 20) for i in range(4)], f"k int, {n} int, w{n} int") for n in "xy")
+    assert scale.hot_keys(left, right, ["k"], 100_000, 400).isEmpty()
+    assert [(r._salts_a, r._salts_b) for r in scale.hot_keys(left, right, ["k"], 100_000, 400, ("wx", "wy")).collect()] == [(4, 4)]
+    got = sorted(map(tuple, scale.salted_pairs(left, right, ["k"], "x", 100_000, 400, ("wx", "wy")).select("x", "y").collect()))
+    assert got == [(x, y) for x in range(4) for y in range(4)]
