@@ -3,6 +3,7 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,3 +295,23 @@ def test_pairs_are_dealt_by_what_rows_stand_for(spark):
     assert [(r._salts_a, r._salts_b) for r in scale.hot_keys(left, right, ["k"], 100_000, 400, ("wx", "wy")).collect()] == [(4, 4)]
     got = sorted(map(tuple, scale.salted_pairs(left, right, ["k"], "x", 100_000, 400, ("wx", "wy")).select("x", "y").collect()))
     assert got == [(x, y) for x in range(4) for y in range(4)]
+
+
+def test_windows_of_many_pairs_side_by_side(monkeypatch):
+    """Scores of a batch are exactly those of its pairs one by one, whatever the lengths; few comparisons are made one by one."""
+    draw = random.Random(11)
+    text_of = lambda: "".join(draw.choice(draw.choice(["ab", "ABCDEFG HIJKLMNÑOPÉ", "a\U0001f600ñ "])) for _ in range(draw.choice([0, 1, 5, 30, 62, 63, 80])))
+    pairs = [(text_of(), text_of()) for _ in range(700)] + [("abc", "x" * 3000 + "ab")]
+    least = [draw.choice([0.0, 40.0, 100.0]) for _ in pairs]
+    monkeypatch.setattr(fuzzy, "_WINDOWS", 5000)
+    assert fuzzy.partial_ratios(pairs, least) == [partial_ratio(*p, x) for p, x in zip(pairs, least)] and fuzzy.partial_ratios([], []) == []
+    a = pd.Series(["GASOLINERA LA LOMA", None, "SHELL NORTE 12"] * 2)
+    b = pd.Series(["EST DE SERV LOMA ALTA", "X", "SHEL NTE 21 SUR"] * 2)
+    calls, real = [], fuzzy._best_window
+    monkeypatch.setattr(fuzzy, "_best_window", lambda *x: calls.append(1) or real(*x))
+    for similarity in (fuzzy.name_similarity, fuzzy.address_similarity):
+        monkeypatch.setattr(fuzzy, "_SEEN", {})
+        got = fuzzy._score_batch(a, b, similarity)
+        assert not calls and got.isna().tolist() == [False, True, False] * 2
+        assert got.dropna().tolist() == [similarity(x, y) / 100.0 for x, y in zip(a, b) if x]
+        calls.clear()
