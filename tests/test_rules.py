@@ -315,3 +315,44 @@ def test_windows_of_many_pairs_side_by_side(monkeypatch):
         assert not calls and got.isna().tolist() == [False, True, False] * 2
         assert got.dropna().tolist() == [similarity(x, y) / 100.0 for x, y in zip(a, b) if x]
         calls.clear()
+
+
+def _blocking_rows(spark):
+    rows = []
+    for k in range(30):
+        source, here = ("cre", "osm", "denue")[k % 3], k % 5 != 0
+        rows.append((
+            f"{source}_{k:03}", source, 19.0 + (k % 7) * 0.0031 if here else None, -99.0 - (k % 4) * 0.0033 if here else None, "PEMEX CENTRO" if k % 4 else None,
+            "PEMEX" if k % 2 else None, "CALLE UNO 5" if k % 3 else None, "JALISCO", "TALA"))
+    names = "id string, source string, lat double, lng double, norm_name string, norm_brand string, norm_address string, norm_state string, norm_municipality string"
+    return matching.blocking_keys(spark.createDataFrame(rows, names).withColumns({"raw_name": F.lit(None).cast("string"), "raw_address": F.lit(None).cast("string")}))
+
+
+def test_pruned_pairs_are_all_that_can_reach_review(spark):
+    keys = _blocking_rows(spark)
+    want = matching.candidate_pairs(keys, prune=False).filter(matching.can_reach_review())
+    got = matching.candidate_pairs(keys)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    reasons = {(r.reason, r.distance_m is None) for r in got.collect()}
+    assert {("geohash", False), ("admin", True)} <= reasons
+
+
+def test_a_pair_computes_its_distance_in_few_places(spark):
+    plan = matching.geo_pairs(_blocking_rows(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("ATAN2") <= 2
+
+
+def test_records_that_lack_place_and_text_are_not_met(spark, monkeypatch):
+    met, real = [], matching.salted_pairs
+
+    def spy(left, right, keys, *more):
+        if "_b" in keys:
+            met.append((left, right))
+        return real(left, right, keys, *more)
+
+    monkeypatch.setattr(matching, "salted_pairs", spy)
+    matching.admin_pairs(_blocking_rows(spark))
+    (left, right), = met
+    text = "{0}.name_key is not null and {0}.addr_key is not null"
+    assert left.count() > 0 and left.filter("not (" + text.format("x") + ")").count() == 0
+    assert right.filter("not (" + text.format("y") + ")").count() == 0
