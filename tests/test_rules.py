@@ -1,5 +1,6 @@
 """Boundary values of the rules, worked out by hand."""
 
+import itertools
 import math
 import random
 
@@ -356,3 +357,41 @@ def test_records_that_lack_place_and_text_are_not_met(spark, monkeypatch):
     text = "{0}.name_key is not null and {0}.addr_key is not null"
     assert left.count() > 0 and left.filter("not (" + text.format("x") + ")").count() == 0
     assert right.filter("not (" + text.format("y") + ")").count() == 0
+
+
+def test_all_blocked_pairs_meet_as_lists(spark, monkeypatch):
+    """Unpruned blocking joins lists of records, dealt by their pairs, and gives each pair of different sources once for each of
+    its records' rows: ids that repeat or are null, lost places, blocks and sources included."""
+    draw = random.Random(5)
+    rows = []
+    for k in range(90):
+        source, here = draw.choice(["cre", "osm", "denue", None]), draw.random() < 0.8
+        lat, lng = (19.0 + draw.randrange(5) * 0.0031, -99.0 - draw.randrange(5) * 0.0063) if here else (None, None)
+        block = draw.choice(["S|A", "S|A", "S|B", None])
+        rows.append((draw.choice([f"r{k:02}", f"r{k // 2:02}", "r50", None]), source, lat, lng, block))
+    rows += rows[:7]
+    raw = spark.createDataFrame(rows, "id string, source string, lat double, lng double, block string").repartition(3)
+    cells = matching.geohash_cell(F.col("lat"), F.col("lng"), 6)
+    none = {c: F.lit(None).cast("string") for c in ("name_key", "norm_brand", "addr_key")}
+    keys = raw.withColumns({**none, "cell_x": cells[0], "cell_y": cells[1]})
+    records, want = keys.collect(), []
+    for x, y in itertools.product(records, records):
+        if None in (x.id, y.id, x.source, y.source) or x.source == y.source or x.id >= y.id:
+            continue
+        placed = x.lat is not None and y.lat is not None
+        ring = placed and abs(x.cell_x - y.cell_x) <= 1 and abs(x.cell_y - y.cell_y) <= 1
+        if ring or (x.block is not None and x.block == y.block):
+            a = placed and math.sin(math.radians(y.lat - x.lat) / 2) ** 2 + math.cos(math.radians(x.lat)) * math.cos(math.radians(y.lat)) * math.sin(math.radians(y.lng - x.lng) / 2) ** 2
+            want.append((x.id, y.id, x.source, y.source, "geohash" if ring else "admin", round(12742000 * math.asin(math.sqrt(a)), 1) if placed else None))
+    dealt, real = [], matching.salted_pairs
+    monkeypatch.setattr(matching, "salted_pairs", lambda *a: dealt.append(a) or real(*a))
+    monkeypatch.setattr(matching, "TILE_PAIRS", 200)
+    columns = ["id_a", "id_b", "source_a", "source_b", "reason", "distance_m"]
+    shown = lambda df, n: sorted(str(tuple(r)) for r in df.select(*columns[:2], *columns[n:]).collect())
+    assert len(want) > 300 and shown(matching.candidate_pairs(keys, prune=False), 2) == sorted(map(str, want))
+    assert [a[-2:] for a in dealt] == [(200, ("_wa", "_wb"))] * 2
+    assert all(left.filter("size(xs) <> _wa").isEmpty() and left.agg(F.max("_wa")).first()[0] > 1 for left, *_ in dealt)
+    assert shown(matching.candidate_pairs(keys, prune=False, fields=matching.PLACE), 4) == sorted(str(w[:2] + w[4:]) for w in want)
+    changed = F.coalesce(F.col("id") < "r10", F.lit(False))
+    some = matching.candidate_pairs(keys.withColumn("changed", changed), prune=False)
+    assert shown(some, 2) == sorted(str(w) for w in want if w[0] < "r10")  # the lower id comes first
