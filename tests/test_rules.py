@@ -120,6 +120,22 @@ def test_paired_ids_equal_the_sides_of_all_pairs(spark):
     assert sorted(r.id for r in matching.paired_ids(keys).collect()) == sorted({x for p in pairs for x in p})
 
 
+def test_pair_counts_meet_by_sums(spark):
+    """Counts of records that repeat, lack a cell, block or source, and stand beside other cells; no side is broadcast."""
+    draw = random.Random(3)
+    rows = [(draw.choice(["x", "y", "z", None]), draw.choice(["m", "n", None]), *draw.choice([(None, None), *itertools.product((5, 6, 7, 9), (1, 2, 4))])) for _ in range(80)]
+    keys = spark.createDataFrame(rows, "source string, block string, cell_x bigint, cell_y bigint")
+    geo_pairs = both = 0
+    for (s, m, x, y), (t, n, v, w) in itertools.combinations(rows, 2):
+        if s and t and s != t and x and v and abs(x - v) <= 1 and abs(y - w) <= 1:
+            geo_pairs, both = geo_pairs + 1, both + (m is not None and m == n)
+    admin = sum(r.pairs for r in matching.admin_block_sizes(keys).collect())
+    counts = matching.candidate_counts(keys)
+    assert counts.collect() == [(geo_pairs, both, admin, geo_pairs + admin - both)] and both
+    assert "Broadcast" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert matching.candidate_counts(keys.limit(0)).collect() == [(0, 0, 0, 0)]
+
+
 def test_brand_of_every_rule(spark):
     df = spark.createDataFrame([("PEMEX",), ("Gasolinera Pemex Centro",), ("HIDROSINNA",), (None,), ("",)], "raw string")
     got = {r.raw: (r.norm_brand, r.conf) for r in conform.canonical_brand(df, "raw", "norm_brand", "conf").collect()}
