@@ -334,6 +334,47 @@ def test_windows_of_many_pairs_side_by_side(monkeypatch):
         calls.clear()
 
 
+def test_long_texts_and_words_are_compared_side_by_side(monkeypatch):
+    """Texts of several machine words, and the ratios of words in order, are those of pairs one by one, without any call for one."""
+    draw = random.Random(13)
+    word = lambda: "".join(draw.choice("abcñ😀") for _ in range(draw.randint(1, 9)))
+    text_of = lambda: " ".join(word() for _ in range(draw.choice([1, 2, 12, 20, 30])))[: draw.choice([63, 64, 65, 128, 129, 256])]
+    pairs = [(text_of(), text_of()) for _ in range(300)]
+    pairs += [(a, a[1:] + " " + b) for a, b in pairs[:40]] + [(" ".join(reversed(a.split())), a) for a, _ in pairs[:20]]
+    pairs = [(a[:256], b[:256]) for a, b in pairs]
+    want = {f: [f(*p) for p in pairs] for f in (fuzzy.name_similarity, fuzzy.address_similarity)}
+    real = fuzzy._lcs
+    calls = []
+    monkeypatch.setattr(fuzzy, "_lcs", lambda *x: calls.append(1) or real(*x))
+    for similarity in want:
+        monkeypatch.setattr(fuzzy, "_SEEN", {})
+        got = fuzzy._score_batch(pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs]), similarity)
+        assert got.tolist() == [x / 100.0 for x in want[similarity]]
+    assert not calls
+
+
+def test_candidates_by_what_brands_leave_open(spark):
+    """Candidates of every distance, brand and missing field are all pairs that can reach review; records of one cell or block
+    that are too far apart for their brands are left out before distances are taken, and meet once."""
+    draw = random.Random(17)
+    rows = [(
+        f"{k % 140:03}", draw.choice(["cre", "osm", "denue", "x"]), *draw.choice([(19 + draw.random() * 0.02, -99 + draw.random() * 0.02)] * 9 + [(None, None)]), draw.choice(["N", None]), draw.choice(["P", "S", None]),
+        draw.choice(["A", None]), draw.choice(["JALISCO", None]), draw.choice(["TALA", "X", None])) for k in range(150)]
+    names = "id string, source string, lat double, lng double, norm_name string, norm_brand string, norm_address string, norm_state string, norm_municipality string"
+    keys = matching.blocking_keys(spark.createDataFrame(rows, names).withColumns({"raw_name": F.lit(None).cast("string"), "raw_address": F.lit(None).cast("string")})).cache()
+    columns = ["id_a", "id_b", "source_a", "name_key_b", "distance_m", "geo_score", "brand_score", "source_score"]
+    for found in (matching.geo_pairs, matching.admin_pairs, lambda k, **x: matching.admin_pairs(k, apart=True, **x), matching.candidate_pairs):
+        want = found(keys, prune=False).filter(matching.can_reach_review()).select(columns)
+        got = found(keys).select(columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.filter("id_a >= id_b").isEmpty()
+    assert matching.geo_pairs(keys).count() > 50
+    brands = spark.createDataFrame([(*x, *y) for x, y in itertools.product(((0.0, 0.0, "P"),), ((0.0019, 0.0, "S"), (0.002, 0.0, "S"), (0.0, 0.0067, "P"), (0.0, 0.009, "P"), (0.0, 0.005, None)))],
+                                   "a double, b double, c string, d double, e double, f string")
+    place = lambda lat, lng, brand: F.struct(F.col(lat).alias("lat"), F.col(lng).alias("lng"), F.col(brand).alias("norm_brand"))
+    near = brands.select(place("a", "b", "c").alias("x"), place("d", "e", "f").alias("y")).select(matching._within_reach().alias("v"))
+    assert [r.v for r in near.collect()] == [True, False, True, False, True]
+
+
 def _blocking_rows(spark):
     rows = []
     for k in range(30):
