@@ -88,7 +88,7 @@ def anomaly_export(anomalies: DataFrame, detection_date: str) -> DataFrame:
 def list_export(filtered: DataFrame, anomalies: DataFrame) -> DataFrame:
     """Filtered stations with Y or N for data and for a local anomaly."""
     flags = anomalies.select("id").distinct().withColumn("_flag", F.lit("Y"))
-    return filtered.join(flags, "id", "left").select(
+    return filtered.join(flags.hint("merge"), "id", "left").select(
         "id", "name", "brand", "city", "state", "lat", "lng", *FUELS,
         F.when(F.col("has_data"), "Y").otherwise("N").alias("has_data"), F.coalesce("_flag", F.lit("N")).alias("is_anomaly"),
     )
