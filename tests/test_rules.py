@@ -375,6 +375,29 @@ def test_candidates_by_what_brands_leave_open(spark):
     assert [r.v for r in near.collect()] == [True, False, True, False, True]
 
 
+def test_no_repeated_rows_are_broadcast(spark, tmp_path):
+    """Rows repeated over cells count as one for the optimizer; none of them, nor what they meet, goes through the driver. What
+    is broadcast is a row per fuel, or per key that is dealt over salts."""
+    def stored(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    priced = stored("priced", [(i, "regular", 20.0 + i % 7, 19 + i % 5 * 0.01, -99 + i % 6 * 0.01, i % 9 == 0) for i in range(60)],
+                    "id bigint, fuel string, price double, lat double, lng double, is_anomaly boolean")
+    points = stored("points", [(i, 19 + i * 0.002, -99.0) for i in range(20)], "point_id bigint, lat double, lng double")
+
+    def broadcasts(df):
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        joins = [x.split("BroadcastHashJoin ")[1] for x in lines if "BroadcastHashJoin" in x]
+        return [x for x in joins if not x.startswith("[fuel#") or "LeftSemi" not in x]
+
+    assert broadcasts(anomaly.local_anomalies(priced.drop("is_anomaly"))) == []
+    for found in (spatial.nearest_cheapest(points, priced), spatial.cheaper_alternatives(priced)):
+        assert all("LeftOuter" in x for x in broadcasts(found))
+    left, right = (stored(n, [(1, i) for i in range(9)], f"k int, {n} int") for n in "xy")
+    assert all("LeftOuter" in x for x in broadcasts(scale.salted_pairs(left, right, ["k"], "x", 100, 100)))
+
+
 def _blocking_rows(spark):
     rows = []
     for k in range(30):
