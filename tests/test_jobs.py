@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fuelspark.jobs import prices, stations
 from fuelspark.jobs.store import Store
-from fuelspark.operators import conform
+from fuelspark.operators import conform, masters
 from fuelspark.operators.masters import _master, master_id
 
 FEED = "id bigint, date string, regular double, premium double, diesel double"
@@ -85,6 +85,17 @@ def test_masters_that_drift_or_lose_their_records(spark):
         "c": ("unknown", False, True, stations.DISSOLVED, full), "d": ("active", False, False, None, full)}
 
 
+def test_names_are_normalised_before_they_meet(spark):
+    names = [("a", "Gasolinera El Norte 5", "GASOLINERA NORTE"), ("b", None, "X"), ("c", " ", None), ("d", "12", "34"), ("e", "PEMEX SUR", "SHELL ESTE"), ("f", "5", "NORTE")]
+    now, before = (spark.createDataFrame([(n[0], n[k]) for n in names], "id string, name string") for k in (1, 2))
+    drift = masters.name_drift(now, before)
+    assert {r.id: (r.overlap, r.name_drift_flag) for r in drift.collect()} == {
+        "a": (1.0, False), "b": (0.0, True), "c": (0.0, True), "d": (1.0, False), "e": (0.0, True), "f": (0.0, True)}
+    plan = drift.filter("name_drift_flag").select("id")._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join" in x]
+    assert len(joins) == 1 and "regexp" not in joins[0]
+
+
 def test_price_runs(spark, tmp_path):
     root = f"{tmp_path}/p"
     feed = lambda *rows: spark.createDataFrame(list(rows), FEED)
